@@ -1,0 +1,49 @@
+"""Joining per-key history to rows when some keys are very frequent."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# A key is hot when it holds more than this share of all rows. There can be at
+# most 1 / HOT_SHARE such keys, which bounds the list that is broadcast.
+HOT_SHARE = 1.0 / 2000
+SALTS = 64
+
+
+def _any_null(keys: list[str]) -> Column:
+    missing = F.lit(False)
+    for key in keys:
+        missing = missing | F.col(key).isNull()
+    return missing
+
+
+def hot_keys(history: DataFrame, keys: list[str], weight: str, share: float = HOT_SHARE) -> DataFrame:
+    """Keys holding more than ``share`` of the weight: at most 1/share rows."""
+    total = history.agg(F.sum(weight).alias("w")).scalar()
+    return history.where(F.col(weight) > total * share).select(*keys)
+
+
+def salted_left_join(
+    rows: DataFrame,
+    history: DataFrame,
+    keys: list[str],
+    weight: str,
+    share: float = HOT_SHARE,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Left join that spreads the rows of hot keys over ``salts`` tasks.
+
+    ``history`` has one row per key, and ``weight`` says how many rows the key
+    had when the history was taken. Only hot keys are replicated, and rows with a
+    null key, which can match nothing, are spread as well.
+    """
+    hot = hot_keys(history, keys, weight, share)
+    marked_hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    left = rows.join(marked_hot, keys, "left").withColumn(
+        "_salt", F.when(F.col("_hot") | _any_null(keys), spread).otherwise(F.lit(0))
+    )
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = history.join(marked_hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot", weight)
+    return left.drop("_hot").join(right, [*keys, "_salt"], "left").drop("_salt")
