@@ -30,6 +30,12 @@ def guarded_div(top: Column, bottom: Column) -> Column:
     return F.when(bottom != 0, top / bottom)
 
 
+def mean_of_sum(total: Column, n: Column, digits: int = 4) -> Column:
+    """Rounded mean. The sum is cleared of the noise that depends on the order of
+    addition first, so that a mean on a rounding edge always falls alike."""
+    return F.round(F.round(total, 6) / n, digits)
+
+
 def share_pct(part: Column, whole: Column, digits: int = 3) -> Column:
     return F.round(guarded_div(part.cast("double"), whole.cast("double")) * 100.0, digits)
 

@@ -114,8 +114,8 @@ def _risk_level(value: Column, high: int, moderate: int) -> Column:
 def _amount_text(native: Column, usd: Column, currency: Column) -> Column:
     values = {
         "usd": with_commas(F.round(usd)),
-        "plain": F.format_number(native, "0.##########"),
-        "native": F.format_number(native, "#,##0.##"),
+        "plain": F.call_function("format_number", native, F.lit("0.##########")),
+        "native": F.call_function("format_number", native, F.lit("#,##0.##")),
         "symbol": lookup(currency, fv.CURRENCY_SYMBOL, fv.CURRENCY_SYMBOL_DEFAULT),
         "currency": currency,
         "rate": fx_rate_text(currency),

@@ -14,7 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txrisk import fixed_values as fv
-from txrisk.functions.scalars import count_if, decile, decile_label, guarded_div, lookup
+from txrisk.functions.scalars import (
+    count_if,
+    decile,
+    decile_label,
+    guarded_div,
+    lookup,
+    mean_of_sum,
+)
 from txrisk.sources.prediction_log import days_before, lookback
 
 METRICS = list(fv.DRIFT_BASELINES)
@@ -77,24 +84,27 @@ def metrics_from_summary(summary: DataFrame, keys: list[str]) -> DataFrame:
     def share(name: str) -> Column:
         return F.sum(name).cast("double") / n
 
+    def mean(name: str) -> Column:
+        return mean_of_sum(F.sum(name).cast("double"), n)
+
     percentile = nearest_rank(summary, keys, {"score_p95": 0.95}).withColumn(
         "score_p95", F.round("score_p95", 4)
     )
     wide = summary.groupBy(*keys).agg(
         n.alias("n_transactions"),
         share("flagged").alias("flag_rate"),
-        F.round(F.sum(F.col("risk_score") * F.col("n")) / n, 4).alias("avg_risk_score"),
+        mean_of_sum(F.sum(F.col("risk_score") * F.col("n")), n).alias("avg_risk_score"),
         share("ach").alias("pct_ach"),
         share("wire").alias("pct_wire"),
         share("bitcoin").alias("pct_bitcoin"),
         share("cash").alias("pct_cash"),
-        F.round(share("format_risk"), 4).alias("avg_payment_format_risk"),
-        F.round(share("currency_risk"), 4).alias("avg_currency_risk"),
-        F.round(share("cross_border"), 4).alias("pct_cross_border"),
-        F.round(share("near_threshold"), 4).alias("pct_near_threshold"),
-        F.round(share("in_cycle"), 4).alias("pct_in_cycle"),
-        F.round(share("fan_out"), 4).alias("avg_fan_out"),
-        F.round(share("bank_risk"), 4).alias("avg_bank_risk"),
+        mean("format_risk").alias("avg_payment_format_risk"),
+        mean("currency_risk").alias("avg_currency_risk"),
+        mean("cross_border").alias("pct_cross_border"),
+        mean("near_threshold").alias("pct_near_threshold"),
+        mean("in_cycle").alias("pct_in_cycle"),
+        mean("fan_out").alias("avg_fan_out"),
+        mean("bank_risk").alias("avg_bank_risk"),
         F.round(guarded_div(F.sum("ms").cast("double"), F.sum("timed")), 1).alias("avg_processing_ms"),
     )
     return wide.join(percentile, keys).select(*keys, "n_transactions", *METRICS)
@@ -146,7 +156,10 @@ def compare_metrics(metrics: DataFrame, keys: list[str], baselines: DataFrame |
     The baseline table has one row per metric, hence the broadcast.
     """
     baselines = baselines if baselines is not None else baseline_table(metrics.sparkSession)
-    long = metrics.unpivot([*keys, "n_transactions"], METRICS, "metric", "current")
+    entries = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("current")) for m in METRICS]
+    long = metrics.select(*keys, "n_transactions", F.explode(F.array(*entries)).alias("e")).select(
+        *keys, "n_transactions", "e.*"
+    )
     change = (F.col("current") - F.col("baseline")) / F.abs("baseline")
     return (
         long.join(F.broadcast(baselines), "metric", "left")
@@ -303,7 +316,7 @@ def live_stats(log: DataFrame, as_of: str | datetime, days: int = 7) -> DataFram
     wide = counted.groupBy(*keys).agg(
         F.sum("n").alias("n_transactions"),
         (F.sum("flagged").cast("double") / F.sum("n")).alias("flag_rate"),
-        F.round(F.sum(F.col("risk_score") * F.col("n")) / F.sum("n"), 4).alias("avg_score"),
+        mean_of_sum(F.sum(F.col("risk_score") * F.col("n")), F.sum("n")).alias("avg_score"),
     )
     return wide.join(nearest_rank(counted, keys, {"score_p95": 0.95, "score_p99": 0.99}), keys)
 
@@ -384,5 +397,5 @@ def rolling_trend(log: DataFrame, days: int = 90) -> DataFrame:
         "day",
         n.alias("n"),
         F.round(F.sum("flagged").over(past) / n, 6).alias("flag_rate"),
-        F.round(F.sum("score").over(past) / n, 4).alias("avg_score"),
+        mean_of_sum(F.sum("score").over(past), n).alias("avg_score"),
     )

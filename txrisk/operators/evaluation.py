@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk import fixed_values as fv
-from txrisk.functions.scalars import case_type, count_if, guarded_div
+from txrisk.functions.scalars import case_type, count_if, guarded_div, mean_of_sum
 from txrisk.operators.profiles import LABEL, class_name
 
 EPSILON = 1e-8
@@ -53,7 +53,8 @@ def _running_sliced(thresholds: DataFrame, slices: int = SLICES) -> DataFrame:
     """
     cuts = [i / slices for i in range(1, slices)]
     bounds = thresholds.agg(F.percentile_approx("threshold", cuts, 10_000).alias("b")).scalar()
-    sliced = thresholds.withColumn("slice", F.size(F.filter(bounds, lambda b: b > F.col("threshold"))))
+    above = F.filter("_bounds", lambda b: b > F.col("threshold"))
+    sliced = thresholds.withColumn("_bounds", bounds).withColumn("slice", F.size(above)).drop("_bounds")
     totals = sliced.groupBy("slice").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     before = Window.partitionBy(F.lit(1)).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
@@ -209,7 +210,7 @@ def score_summary(scored: DataFrame, score: str = "risk_score", label: str = LAB
     zero = F.lit(0).cast("bigint")
     return counted.groupBy(label).agg(
         F.sum("n").alias("n"),
-        F.round(F.sum(F.col("s") * F.col("n")) / F.sum("n"), 4).alias("mean_score"),
+        mean_of_sum(F.sum(F.col("s") * F.col("n")), F.sum("n")).alias("mean_score"),
         F.round(F.percentile("s", 0.5, F.col("n")), 4).alias("median_score"),
         F.coalesce(F.sum(F.when(F.col("s") > 0.5, F.col("n"))), zero).alias("n_above_50"),
         F.coalesce(F.sum(F.when(F.col("s") > 0.85, F.col("n"))), zero).alias("n_above_85"),

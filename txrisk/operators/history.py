@@ -59,7 +59,7 @@ def sender_history(edge_table: DataFrame) -> DataFrame:
         "fan_out_degree",
         "tx_velocity",
         total.alias("total_sent"),
-        F.round(F.col("sent") / F.col("tx_velocity"), 2).alias("avg_sent"),
+        F.round(F.round("sent", 6) / F.col("tx_velocity"), 2).alias("avg_sent"),
         F.round(total / F.greatest(F.col("tx_velocity"), F.lit(1)), 2).alias("amount_per_tx"),
     )
 
@@ -76,7 +76,7 @@ def receiver_history(edge_table: DataFrame) -> DataFrame:
         "fan_in_degree",
         "n_received",
         F.round("received", 2).alias("total_received"),
-        F.round(F.col("received") / F.col("n_received"), 2).alias("avg_received"),
+        F.round(F.round("received", 6) / F.col("n_received"), 2).alias("avg_received"),
     )
 
 

@@ -55,10 +55,9 @@ def split_stratified(
 
 def split_temporal(df: DataFrame, train_share: float = 0.8, ts: str = "ts") -> DataFrame:
     """Adds ``split``: train is the first part of the time range."""
-    seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
-    span = df.agg(F.min(seconds).alias("lo"), F.max(seconds).alias("hi"))
+    span = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
     cut = span.select(F.col("lo") + (F.col("hi") - F.col("lo")) * F.lit(train_share)).scalar()
-    return df.withColumn("split", F.when(seconds <= cut, "train").otherwise("test"))
+    return df.withColumn("split", F.when(F.col(ts) <= cut, "train").otherwise("test"))
 
 
 def split_summary(df: DataFrame, label: str = LABEL) -> DataFrame:
