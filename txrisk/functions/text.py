@@ -19,8 +19,13 @@ def fill(template: str, **values: Column) -> Column:
 
 
 def listed(*pieces: tuple[Column, Column]) -> Column:
-    """Array of the texts whose condition holds, in the given order."""
-    return F.array_compact(F.array(*[F.when(condition, text) for condition, text in pieces]))
+    """Array of the texts whose condition holds, in the given order.
+
+    ``array_except`` drops the nulls inside generated code; ``array_compact`` is a
+    higher-order function and would be interpreted, once per use of each text.
+    """
+    chosen = F.array(*[F.when(condition, text) for condition, text in pieces])
+    return F.array_except(chosen, F.array(F.lit(None).cast("string")))
 
 
 def capital(text: Column) -> Column:

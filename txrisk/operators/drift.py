@@ -22,6 +22,7 @@ from txrisk.functions.scalars import (
     lookup,
     mean_of_sum,
 )
+from txrisk.session import materialize
 from txrisk.sources.prediction_log import days_before, lookback
 
 METRICS = list(fv.DRIFT_BASELINES)
@@ -123,7 +124,8 @@ def lookback_summary(
     longer = F.filter(F.array(*[F.lit(d) for d in spans]), lambda d: d >= F.col("slice"))
     copied = sliced.withColumn("period_days", F.explode(longer))
     sums = [F.sum(c).alias(c) for c in ["n", *_SUMMED]]
-    return copied.groupBy("period_days", "risk_score").agg(*sums)
+    # Written once: averages, percentiles and status all read it, the log is read once.
+    return materialize(copied.groupBy("period_days", "risk_score").agg(*sums), "log-summary")
 
 
 def drift_metrics(
@@ -286,13 +288,13 @@ def score_histogram(log: DataFrame, as_of: str | datetime, days: int = 30) -> Da
     counted = (
         lookback(log, as_of, days).groupBy(decile(F.col("risk_score")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     )
-    total = counted.agg(F.sum("n").alias("n")).scalar()
+    counted = counted.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
     buckets = log.sparkSession.range(10).select(F.col("id").cast("int").alias("bucket"))
     n = F.coalesce("n", F.lit(0))
     return buckets.join(F.broadcast(counted), "bucket", "left").select(
         decile_label(F.col("bucket")).alias("bucket"),
         n.alias("n"),
-        F.round(guarded_div(n.cast("double"), total) * 100.0, 1).alias("pct"),
+        F.coalesce(F.round(n.cast("double") / F.col("total") * 100.0, 1), F.lit(0.0)).alias("pct"),
     )
 
 
@@ -324,8 +326,10 @@ def live_stats(log: DataFrame, as_of: str | datetime, days: int = 7) -> DataFram
 def format_mix(log: DataFrame, as_of: str | datetime, days: int = 7) -> DataFrame:
     """Share of each payment format against its usual share."""
     counted = lookback(log, as_of, days).groupBy("payment_format").agg(F.count(F.lit(1)).alias("n"))
-    total = counted.agg(F.sum("n").alias("n")).scalar()
-    pct = F.col("n").cast("double") / total * 100.0
+    # One row per payment format reaches this window.
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    counted = counted.withColumn("total", total)
+    pct = F.col("n").cast("double") / F.col("total") * 100.0
     usual = lookup(F.col("payment_format"), fv.FORMAT_MIX_BASELINE, fv.FORMAT_MIX_DEFAULT)
     return counted.select(
         "payment_format",
@@ -363,6 +367,7 @@ def score_shift(
 
     both = counted(reference, "ref").unionByName(counted(current, "cur"))
     both = both.groupBy("s").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+    both = materialize(both, "score-counts")
     # One group on purpose: 10,001 distinct scores at most.
     whole = Window.partitionBy(F.lit(1))
     upto = whole.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from txrisk import fixed_values as fv
 from txrisk.functions.scalars import case_type, count_if, guarded_div, mean_of_sum
 from txrisk.operators.profiles import LABEL, class_name
+from txrisk.session import materialize
 
 EPSILON = 1e-8
 SLICES = 200
@@ -27,6 +28,12 @@ def threshold_table(scored: DataFrame, score: str = "risk_score", label: str = L
     )
 
 
+def stored_thresholds(scored: DataFrame, score: str, label: str, digits: int) -> DataFrame:
+    """The threshold table, written once: curves read it several times, the
+    scored rows are read once."""
+    return materialize(threshold_table(scored, score, label, digits), "thresholds")
+
+
 def _totals(thresholds: DataFrame) -> tuple[Column, Column]:
     sums = thresholds.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return sums.select("p").scalar(), sums.select("n").scalar()
@@ -89,7 +96,7 @@ def precision_recall_curve(
     bounded: bool = True,
 ) -> DataFrame:
     """Counts, precision, recall and F1 when flagging scores >= threshold."""
-    thresholds = threshold_table(scored, score, label, digits)
+    thresholds = stored_thresholds(scored, score, label, digits)
     positives, _ = _totals(thresholds)
     counts = running_counts(thresholds, bounded)
     flagged = F.col("tp") + F.col("fp")
@@ -127,7 +134,7 @@ def ranking_quality(
     Average precision weighs each precision by the recall gained at its threshold,
     which is the positives at that score over all positives.
     """
-    thresholds = threshold_table(scored, score, label, digits)
+    thresholds = stored_thresholds(scored, score, label, digits)
     positives, negatives = _totals(thresholds)
     counts = running_counts(thresholds, bounded)
     precision = F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))

@@ -97,6 +97,7 @@ def bank_history(tx: DataFrame, hubs: int = fv.HUB_BANKS) -> DataFrame:
         )
         .withColumn("bank_risk_score", F.round(F.col("bank_laund_tx") / F.col("bank_total_tx") * 100.0, 6))
     )
+    banks = materialize(banks, "bank-sums")
     top = (
         banks.where(F.col("bank_laund_tx") > 0)
         .orderBy(F.col("bank_laund_tx").desc(), F.col("from_bank"))

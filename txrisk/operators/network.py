@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.functions.scalars import count_if, guarded_div, share_pct
+from txrisk.functions.scalars import count_if, share_pct
 from txrisk.operators.profiles import LABEL
 
 SRC, DST = "from_account", "to_account"
@@ -130,6 +130,7 @@ def cycle_pair_counts(edge_table: DataFrame) -> DataFrame:
 
 
 def graph_size(edge_table: DataFrame) -> DataFrame:
+    """Nodes, edges and payments. Pass a stored edge table: it is read twice."""
     ends = edge_table.select(F.explode(F.array(SRC, DST)).alias("account")).where("account IS NOT NULL")
     nodes = ends.distinct().agg(F.count(F.lit(1)).alias("nodes")).scalar()
     return edge_table.agg(
@@ -137,7 +138,3 @@ def graph_size(edge_table: DataFrame) -> DataFrame:
         F.sum("n_tx").alias("transactions"),
         F.sum("n_laundering").alias("laundering_transactions"),
     ).select(nodes.alias("nodes"), "edges", "transactions", "laundering_transactions")
-
-
-def mean_payment(total: str, n: str):
-    return guarded_div(F.col(total), F.greatest(F.col(n), F.lit(1)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +28,8 @@ def class_counts(tx: DataFrame, label: str = LABEL) -> DataFrame:
 
 def class_distribution(tx: DataFrame, label: str = LABEL) -> DataFrame:
     counted = tx.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = counted.agg(F.sum("n").alias("n")).scalar()
+    # One row per class reaches this window.
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
     return counted.select(
         F.col(label),
         class_name(F.col(label)).alias("label"),

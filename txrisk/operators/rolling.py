@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from txrisk.functions.scalars import count_if, guarded_div
 from txrisk.operators.profiles import LABEL
+from txrisk.session import materialize
 
 
 def rolling_bank_risk_table(tx: DataFrame) -> DataFrame:
@@ -21,6 +22,7 @@ def rolling_bank_risk_table(tx: DataFrame) -> DataFrame:
         .groupBy("from_bank", F.to_date("ts").alias("day"), "ts")
         .agg(F.count(F.lit(1)).alias("n"), count_if(F.col(LABEL) == 1).alias("bad"))
     )
+    moments = materialize(moments, "bank-moments")
     days = moments.groupBy("from_bank", "day").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     earlier_days = Window.partitionBy("from_bank").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     day_start = days.select(

@@ -11,6 +11,7 @@ from txrisk.operators.history import fit_history
 from txrisk.plans.catalog import query
 from txrisk.plans.feature_table import feature_table, request_features, transform
 from txrisk.plans.oracle import BASE, case_of
+from txrisk.session import materialize
 from txrisk.sources.warehouse import payments
 
 _KEYS = ["ts", "from_account", "to_account", "from_bank", "to_bank", "amount_paid", "payment_format", "is_laundering"]
@@ -35,7 +36,7 @@ def row_features(spark, folder):
     FROM sender s FULL JOIN receiver r ON s.from_account = r.to_account""",
 )
 def account_features(spark, folder):
-    edge_table = network.edges(payments(spark, folder))
+    edge_table = materialize(network.edges(payments(spark, folder)), "edges")
     sent = history.sender_history(edge_table).withColumnRenamed("from_account", "account")
     received = history.receiver_history(edge_table).withColumnRenamed("to_account", "account").drop("n_received")
     return sent.join(received, "account", "full").withColumn("is_high_fan_out", history.high_fan_out(40))
@@ -78,7 +79,7 @@ _TRAIN = """(SELECT * FROM rowf WHERE epoch(ts)::BIGINT <=
     f"""{BASE},
     past AS {_TRAIN},
     s AS (SELECT from_account, count(DISTINCT to_account) AS fo, count(*) AS v,
-                 round((round(sum(amount_paid), 2) / count(*))::VARCHAR::DECIMAL(38,14), 2)::DOUBLE AS per
+                 round((round(sum(amount_paid), 2) / count(*))::VARCHAR::DECIMAL(38,18), 2)::DOUBLE AS per
           FROM past GROUP BY from_account),
     t AS (SELECT to_account, count(DISTINCT from_account) AS fi FROM past GROUP BY to_account),
     b0 AS (SELECT from_bank, round(avg(amount_paid), 2) AS m, round(stddev_samp(amount_paid), 2) AS sd,
@@ -117,7 +118,7 @@ def features_train_only(spark, folder):
     f"""{BASE} SELECT r.is_cross_border, 12 AS hour_of_day, 1 AS is_peak_hour, 2 AS day_of_week, 0 AS is_weekend,
     r.payment_format_risk, r.currency_risk_score, r.amount_log, r.is_near_threshold,
     s.fan_out_degree, 1::BIGINT AS fan_in_degree, s.tx_velocity,
-    round((r.amount_paid / s.tx_velocity)::VARCHAR::DECIMAL(38,14), 2)::DOUBLE AS amount_per_tx,
+    round((r.amount_paid / s.tx_velocity)::VARCHAR::DECIMAL(38,18), 2)::DOUBLE AS amount_per_tx,
     0e0 AS amount_zscore_per_bank, 15e-2 AS bank_risk_score,
     CASE WHEN s.fan_out_degree > 100 THEN 1 ELSE 0 END AS is_high_fan_out, 0 AS is_in_cycle, 0 AS is_hub_bank,
     r.payment_format, r.amount_paid AS amount, r.from_bank::VARCHAR AS from_bank,
@@ -227,7 +228,7 @@ def feature_class_means(spark, folder):
 
 @query(
     "feature_lift",
-    f"""{BASE} SELECT *, round((laundering_avg / greatest(legitimate_avg, 1e-4))::VARCHAR::DECIMAL(38,14), 2)::DOUBLE AS lift
+    f"""{BASE} SELECT *, round((laundering_avg / greatest(legitimate_avg, 1e-4))::VARCHAR::DECIMAL(38,18), 2)::DOUBLE AS lift
     FROM ({_means_sql(fv.LIFT_FEATURES)})""",
 )
 def feature_lift(spark, folder):

@@ -6,6 +6,7 @@ from txrisk.operators import network, profiles
 from txrisk.operators.profiles import LABEL
 from txrisk.plans.catalog import query
 from txrisk.plans.oracle import BASE, rate_sql
+from txrisk.session import materialize
 from txrisk.sources.warehouse import payments
 
 
@@ -254,4 +255,4 @@ def bank_flow_top(spark, folder):
     FROM edge""",
 )
 def graph_size(spark, folder):
-    return network.graph_size(network.edges(payments(spark, folder)))
+    return network.graph_size(materialize(network.edges(payments(spark, folder)), "edges"))

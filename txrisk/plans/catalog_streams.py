@@ -1 +1,88 @@
+"""Named queries that run a stream over the tables to its end."""
 
+from txrisk.operators import drift
+from txrisk.operators.history import fit_history
+from txrisk.plans.catalog import query
+from txrisk.plans.oracle import BASE, mean4
+from txrisk.session import new_path
+from txrisk.sources.warehouse import payment_stream, payments
+from txrisk.streaming import monitoring
+from txrisk.streaming.scoring import log_stream, score_stream, start_file_sink
+
+_METRICS = ", ".join(drift.METRICS)
+
+
+def _run(stream, spark, label):
+    """Run a stream over what is there now and return the table it wrote."""
+    sink = new_path(spark, label)
+    if sink is None:
+        raise RuntimeError("a stream needs a shared folder: set spark.checkpoint.dir")
+    running = start_file_sink(stream, sink, new_path(spark, f"{label}-checkpoint"))
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(sink)
+
+
+def _stream_session(spark):
+    """A session whose stateful operators have one partition per core, since
+    adaptive execution does not resize them."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    return session
+
+
+def _scored_stream(spark, folder, parts):
+    known = fit_history(payments(spark, folder), parts)
+    session = _stream_session(spark)
+    return score_stream(payment_stream(session, folder, with_latency=True), known, extra=("processing_ms",))
+
+
+_SCORES = "ts, from_account, to_account, amount_paid, payment_format, is_laundering, risk_score, verdict"
+
+
+@query("stream_scores", f"{BASE} SELECT {_SCORES} FROM scored")
+def stream_scores(spark, folder):
+    scored = _scored_stream(spark, folder, ("sender",))
+    return _run(scored.select(*_SCORES.split(", ")), spark, "stream-scores")
+
+
+# A window is closed once the latest row is more than the allowed delay past its end.
+_CLOSED = "window_end <= (SELECT max(ts) FROM log) - INTERVAL 1 DAY"
+
+
+@query(
+    "stream_daily_mix",
+    f"""{BASE}, m AS (SELECT date_trunc('day', ts)::TIMESTAMP AS window_start,
+      date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS window_end, payment_format, count(*) AS n,
+      count(*) FILTER (verdict = 'FLAGGED') AS flagged FROM log GROUP BY 1, 2, 3)
+    SELECT *, round(flagged::DOUBLE / n, 6) AS flag_rate FROM m WHERE {_CLOSED}""",
+)
+def stream_daily_mix(spark, folder):
+    parts = ("sender", "bank", "cycle")
+    return _run(monitoring.daily_mix(log_stream(_scored_stream(spark, folder, parts))), spark, "stream-mix")
+
+
+@query(
+    "stream_drift",
+    f"""{BASE}, w AS (SELECT date_trunc('day', ts)::TIMESTAMP - to_days(k) AS window_start, log.* FROM log, range(7) t(k)),
+    p AS (SELECT window_start, risk_score, row_number() OVER (PARTITION BY window_start ORDER BY risk_score) - 1 AS pos,
+      count(*) OVER (PARTITION BY window_start) AS n FROM w),
+    q AS (SELECT window_start, min(CASE WHEN pos = floor(n * 95e-2) THEN risk_score END) AS score_p95 FROM p GROUP BY 1),
+    m AS (SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, count(*) AS n_transactions,
+      count(*) FILTER (verdict = 'FLAGGED')::DOUBLE / count(*) AS flag_rate, {mean4('risk_score')} AS avg_risk_score,
+      any_value(score_p95) AS score_p95,
+      count(*) FILTER (payment_format = 'ACH')::DOUBLE / count(*) AS pct_ach,
+      count(*) FILTER (payment_format = 'Wire')::DOUBLE / count(*) AS pct_wire,
+      count(*) FILTER (payment_format = 'Bitcoin')::DOUBLE / count(*) AS pct_bitcoin,
+      count(*) FILTER (payment_format = 'Cash')::DOUBLE / count(*) AS pct_cash,
+      {mean4('payment_format_risk')} AS avg_payment_format_risk, {mean4('currency_risk_score')} AS avg_currency_risk,
+      {mean4('is_cross_border')} AS pct_cross_border, {mean4('is_near_threshold')} AS pct_near_threshold,
+      {mean4('is_in_cycle')} AS pct_in_cycle, {mean4('fan_out_degree')} AS avg_fan_out,
+      {mean4('bank_risk_score')} AS avg_bank_risk,
+      round((round(sum(CASE WHEN processing_ms > 0 THEN processing_ms END), 6)
+        / count(CASE WHEN processing_ms > 0 THEN 1 END))::VARCHAR::DECIMAL(38,18), 1)::DOUBLE AS avg_processing_ms
+      FROM w JOIN q USING (window_start) GROUP BY window_start)
+    SELECT window_start, window_end, n_transactions, {_METRICS} FROM m WHERE {_CLOSED}""",
+)
+def stream_drift(spark, folder):
+    log = log_stream(_scored_stream(spark, folder, ("sender", "bank", "cycle")))
+    return monitoring.window_metrics(_run(monitoring.window_summary(log), spark, "stream-summary"))

@@ -147,11 +147,11 @@ def _conversion(variant: str) -> str:
 
 
 _REPORTS = f"""
-t0 AS (SELECT *, CASE WHEN amount_paid = 0 THEN {quoted(_R['amount_none'])}
+t0 AS MATERIALIZED (SELECT *, CASE WHEN amount_paid = 0 THEN {quoted(_R['amount_none'])}
     WHEN payment_currency = 'US Dollar' THEN {_fill(_R['amount_usd'], **_V)}
     WHEN payment_currency = 'Bitcoin' THEN {_fill(_R['amount_crypto'], **_V)}
     ELSE {_fill(_R['amount_foreign'], **_V)} END AS amount_text FROM scored),
-t1 AS (SELECT *, CASE WHEN payment_currency = 'US Dollar' THEN {_fill(_R['origin_usd'], **_V)} ELSE amount_text END AS origin_text,
+t1 AS MATERIALIZED (SELECT *, CASE WHEN payment_currency = 'US Dollar' THEN {_fill(_R['origin_usd'], **_V)} ELSE amount_text END AS origin_text,
     {_list(_piece(_CROSS, _R['compound_cross']), _piece(_NEAR, _R['compound_near']), _piece(_MANY, _R['compound_fan']),
            _piece('currency_risk_score >= 4', _R['compound_currency'], **_V))} AS compound,
     {_list(_piece('payment_format_risk = 3', _R['evidence_payment'], **_V), _piece(_NEAR, _R['evidence_near'], **_V),
@@ -161,7 +161,7 @@ t1 AS (SELECT *, CASE WHEN payment_currency = 'US Dollar' THEN {_fill(_R['origin
            _piece(f'NOT ({_NEAR})', _R['clear_amount']), _piece('fan_out_degree <= 5', _R['clear_fan'], **_V),
            _piece('currency_risk_score <= 2', _R['clear_currency'], **_V))} AS reasons
   FROM t0),
-report AS (SELECT *, CASE WHEN risk_score >= 65e-2 THEN
+report AS MATERIALIZED (SELECT *, CASE WHEN risk_score >= 65e-2 THEN
     {_fill(_R['status_flagged'], **_V)} || chr(10) || chr(10)
     || {_fill(_R['currency_note'], origin='origin_text', conversion=_conversion('flagged'))} || chr(10) || chr(10)
     || {_fill(_R['concern_flagged'], payment=_V['payment'],
@@ -283,8 +283,8 @@ _ISSUE_BODY = "explanation || CASE WHEN to_account % 5 = 0 THEN ' circular cross
 
 @query(
     "report_issues",
-    f"""{BASE}, {_REPORTS}, body AS (SELECT *, {_ISSUE_BODY} AS body, lower({_ISSUE_BODY}) AS low FROM report),
-    found AS (SELECT *, list_filter([{_issue_sql()}], lambda x: x IS NOT NULL) AS issues FROM body)
+    f"""{BASE}, {_REPORTS}, body AS MATERIALIZED (SELECT *, {_ISSUE_BODY} AS body, lower({_ISSUE_BODY}) AS low FROM report),
+    found AS MATERIALIZED (SELECT *, list_filter([{_issue_sql()}], lambda x: x IS NOT NULL) AS issues FROM body)
     SELECT array_to_string(issues, '; ') AS issues, count(*) AS n, min(md5(body || CASE WHEN len(issues) > 0
       THEN chr(10) || chr(10) || 'VALIDATION WARNING: ' || array_to_string(issues, '; ') ELSE '' END)) AS first_digest
     FROM found GROUP BY 1""",

@@ -12,7 +12,7 @@ AS_OF = "2001-08-01 00:00:00"
 
 
 def half_up(expression: str, digits: int) -> str:
-    return f"round(({expression})::VARCHAR::DECIMAL(38,14), {digits})::DOUBLE"
+    return f"round(({expression})::VARCHAR::DECIMAL(38,18), {digits})::DOUBLE"
 
 
 def mean4(column: str) -> str:

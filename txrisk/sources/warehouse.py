@@ -35,9 +35,23 @@ def _pick(names: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (index % len(names)).cast("int") + 1)
 
 
-def payments(spark: SparkSession, folder: str, with_latency: bool = False) -> DataFrame:
-    """Payment table; ``with_latency`` adds the ``processing_ms`` log column."""
-    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+def payment_stream(spark: SparkSession, folder: str, with_latency: bool = False) -> DataFrame:
+    """The same payments as a stream over the order lines."""
+    path = f"{folder}/lineitem.parquet"
+    # A stream source takes folders; the pattern also admits a single file.
+    lines = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    return payments(spark, folder, with_latency, lines)
+
+
+def payments(
+    spark: SparkSession, folder: str, with_latency: bool = False, lines: DataFrame | None = None
+) -> DataFrame:
+    """Payment table; ``with_latency`` adds the ``processing_ms`` log column.
+
+    No join is hinted: Catalyst broadcasts a dimension only while its size allows.
+    """
+    if lines is None:
+        lines = spark.read.parquet(f"{folder}/lineitem.parquet")
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     customers = spark.read.parquet(f"{folder}/customer.parquet")
     suppliers = spark.read.parquet(f"{folder}/supplier.parquet")
