@@ -167,10 +167,10 @@ _COLUMNS = {
 
 def _join(rows: DataFrame, part: str, table: DataFrame, salted: bool) -> DataFrame:
     keys, weight = _JOINS[part]
-    wanted = table.select(*keys, *_COLUMNS[part])
     if not salted:
-        return rows.join(wanted, keys, "left")
-    return salted_left_join(rows, wanted.withColumn("_weight", table[weight]), keys, "_weight")
+        return rows.join(table.select(*keys, *_COLUMNS[part]), keys, "left")
+    weighted = table.select(*keys, *_COLUMNS[part], F.col(weight).alias("_weight"))
+    return salted_left_join(rows, weighted, keys, "_weight")
 
 
 def attach_history(rows: DataFrame, history: History) -> DataFrame:
