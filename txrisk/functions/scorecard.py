@@ -72,29 +72,30 @@ def linear_attribution(weights: dict[str, float], means: dict[str, float]) -> di
 def top_drivers(contributions: dict[str, Column], n: int = 5, digits: int = 4) -> Column:
     """The ``n`` contributions of largest size; equal sizes keep the given order.
 
-    Sorting is done inside the row on a (size, position) key, so it needs no
-    shuffle and no lambda comparator.
+    Sorting is done inside the row on a (size, position) key. ``sort_array`` and
+    plain element access stay in generated code, unlike ``array_sort`` and
+    ``transform``.
     """
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.array(
             *[
                 F.struct(
-                    (-F.abs(value)).alias("size"),
+                    (-F.abs(value)).cast("double").alias("size"),
                     F.lit(position).alias("position"),
                     F.lit(name).alias("feature"),
-                    value.cast("double").alias("value"),
+                    F.round(value.cast("double"), digits).alias("shap_val"),
+                    F.when(value > 0, "increases").otherwise("decreases").alias("direction"),
                 )
                 for position, (name, value) in enumerate(contributions.items())
             ]
         )
     )
-    return F.transform(
-        F.slice(ranked, 1, n),
-        lambda d: F.struct(
-            d["feature"].alias("feature"),
-            F.round(d["value"], digits).alias("shap_val"),
-            F.when(d["value"] > 0, "increases").otherwise("decreases").alias("direction"),
-        ),
+    fields = ("feature", "shap_val", "direction")
+    return F.array(
+        *[
+            F.struct(*[ranked[place][name].alias(name) for name in fields])
+            for place in range(min(n, len(contributions)))
+        ]
     )
 
 

@@ -132,23 +132,28 @@ def fit_history(
     """
     account_parts = [p for p in parts if p != "bank"]
     shared = len(account_parts) > 1
+
+    def stored(make, label: str) -> tuple[DataFrame, int]:
+        # Counting a written table reads file footers only.
+        table = materialize(make(), label)
+        return table, table.count()
+
     with _job_pool(tx) as submit:
-        bank = submit(lambda: materialize(bank_history(tx, hubs), "bank")) if "bank" in parts else None
+        bank = submit(lambda: stored(lambda: bank_history(tx, hubs), "bank")) if "bank" in parts else None
         edge_table = network.edges(tx)
         if shared:
             edge_table = materialize(edge_table, "edges")
         build = {
-            "sender": lambda: materialize(sender_history(edge_table), "sender"),
-            "receiver": lambda: materialize(receiver_history(edge_table), "receiver"),
-            "cycle": lambda: materialize(cycle_history(edge_table, include_self_loops), "cycle"),
+            "sender": lambda: stored(lambda: sender_history(edge_table), "sender"),
+            "receiver": lambda: stored(lambda: receiver_history(edge_table), "receiver"),
+            "cycle": lambda: stored(lambda: cycle_history(edge_table, include_self_loops), "cycle"),
         }
         pending = {part: submit(build[part]) for part in account_parts}
         if bank is not None:
             pending["bank"] = bank
-        tables = {part: job.result() for part, job in pending.items()}
-    # Counting a written table reads file footers only.
-    large = any(table.count() > plain_join_rows for table in tables.values())
-    return History(**tables, large=large)
+        done = {part: job.result() for part, job in pending.items()}
+    large = any(n > plain_join_rows for _, n in done.values())
+    return History(**{part: table for part, (table, _) in done.items()}, large=large)
 
 
 _JOINS = {
