@@ -1,8 +1,10 @@
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from txrisk import fixed_values as fv
 from txrisk.plans import training
+from txrisk.plans.tree_attribution import model_nodes, with_tree_drivers
 from txrisk.sources.writers import write_csv
 from txrisk.sources.warehouse import payments
 
@@ -60,6 +62,17 @@ def test_audit_reports_both_runs(data):
     assert row.leakage in ("significant", "minor", "minimal")
 
 
+def test_tree_credits_add_up_to_the_raw_score(spark, data, model):
+    """Also checks the walk itself: a wrong turn would break the sum."""
+    boosted = model.boosted
+    rows = boosted.transform(data.test)
+    explained = with_tree_drivers(rows, model_nodes(spark, boosted.stages[-1]), model.features)
+    total = F.aggregate("credits", F.lit(0.0), lambda a, c: a + c)
+    gap = F.abs(total - vector_to_array("rawPrediction")[1])
+    worst = explained.agg(F.max(gap), F.count(F.lit(1)), F.min(F.size("drivers"))).first()
+    assert worst[0] < 1e-9 and worst[1] == data.test.count() and worst[2] == 5
+
+
 def test_combine_importance(spark):
     a = spark.createDataFrame([("x", 1.0), ("y", 3.0)], "feature string, boosted double")
     b = spark.createDataFrame([("x", 50.0), ("y", 50.0)], "feature string, forest double")
