@@ -151,6 +151,13 @@ def test_salted_join_keeps_every_row(spark):
     assert rows_of(joined.select("k", "id", "v")) == rows_of(expected.select("k", "id", "v"))
 
 
+def test_null_safe_salted_join_matches_unknown_keys(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("b", 4)], "k string, id int")
+    table = spark.createDataFrame([(None, 2, "n"), ("a", 1, "x")], "k string, w long, v string")
+    joined = salted_left_join(rows, table, ["k"], "w", share=0.5, salts=3, null_safe=True)
+    assert rows_of(joined.select("id", "v")) == [(1, "n"), (2, "n"), (3, "x"), (4, None)]
+
+
 def test_rolling_risk_counts_strictly_earlier_rows(skewed):
     mine = {
         (r.from_bank, r.ts): (r.past_tx, r.past_laundering)

@@ -46,7 +46,7 @@ def row(spark):
 
 
 def report(df):
-    return df.select(text.case_report()).first()[0].split("\n\n")
+    return text.add_case_report(df).first().explanation.split("\n\n")
 
 
 def test_flagged_report(row):

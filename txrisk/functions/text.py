@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk import fixed_values as fv
@@ -149,30 +149,47 @@ def _sentence_pair(reasons: Column) -> Column:
     ).otherwise("")
 
 
-def case_report(threshold: float = fv.SCORECARD_THRESHOLD) -> Column:
-    """Template report for a scored row, in the flagged or the cleared variant."""
-    r = fv.REPORT
+def _report_values(threshold: float) -> dict[str, Column]:
+    """What the report texts are filled with."""
     score, currency = F.col("risk_score"), F.col("payment_currency")
-    pfr, cr = F.col("payment_format_risk"), F.col("currency_risk_score")
-    fan, velocity = F.col("fan_out_degree"), F.col("tx_velocity")
-    near, cross = F.col("is_near_threshold") == 1, F.col("is_cross_border") == 1
-    foreign = F.coalesce(currency != "US Dollar", F.lit(False))
-    crypto = F.coalesce(currency == "Bitcoin", F.lit(False))
-    many = fan > 20
-    values = {
+    pfr, cr, fan = F.col("payment_format_risk"), F.col("currency_risk_score"), F.col("fan_out_degree")
+    return {
         "payment": payment_name(pfr),
         "payment_level": _risk_level(pfr, 3, 2),
         "currency": F.coalesce(currency, F.lit("")),
         "currency_level": _risk_level(cr, 4, 3),
         "amount": _amount_text(F.col("amount_paid"), F.col("amount_usd"), currency),
         "size": size_band(F.col("amount_usd")),
-        "fan": fan,
-        "velocity": with_commas(velocity),
+        "fan": fan.cast("string"),
+        "velocity": with_commas(F.col("tx_velocity")),
         "confidence": capital(confidence(score, 0.65)),
         "margin": _margin_text(score, threshold),
         "plural": F.when(fan == 1, "").otherwise("s"),
     }
 
+
+def add_case_report(
+    scored: DataFrame, column: str = "explanation", threshold: float = fv.SCORECARD_THRESHOLD
+) -> DataFrame:
+    """Template report for every row, in the flagged or the cleared variant.
+
+    The texts share their values, so these are projected first and computed once.
+    """
+    shared = {f"_report_{name}": value for name, value in _report_values(threshold).items()}
+    values = {name: F.col(f"_report_{name}") for name in _report_values(threshold)}
+    return scored.withColumns(shared).withColumn(column, _report(values, threshold)).drop(*shared)
+
+
+def _report(values: dict[str, Column], threshold: float) -> Column:
+    r = fv.REPORT
+    score, currency = F.col("risk_score"), F.col("payment_currency")
+    pfr, cr = F.col("payment_format_risk"), F.col("currency_risk_score")
+    fan, velocity = F.col("fan_out_degree"), F.col("tx_velocity")
+    near, cross = F.col("is_near_threshold") == 1, F.col("is_cross_border") == 1
+    foreign = F.coalesce(currency != "US Dollar", F.lit(False))
+    crypto = F.coalesce(currency == "Bitcoin", F.lit(False))
+    many = fan > 20
+
     def text(key: str, **more: Column) -> Column:
         return fill(r[key], **{**values, **more})
 

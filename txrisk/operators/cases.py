@@ -76,7 +76,7 @@ def with_drivers(scored: DataFrame, n: int = 5) -> DataFrame:
 
 
 def with_explanation(scored: DataFrame, threshold: float = fv.SCORECARD_THRESHOLD) -> DataFrame:
-    return scored.withColumn("explanation", text.case_report(threshold))
+    return text.add_case_report(scored, "explanation", threshold)
 
 
 def case_reports(

@@ -196,15 +196,9 @@ def attach_history(rows: DataFrame, history: History) -> DataFrame:
         pairs = rows.groupBy(SRC, DST).agg(F.count(F.lit(1)).alias("_pair_rows"))
         for part, table in account_parts.items():
             pairs = _join(pairs, part, table, salted=True)
+        # A pair may have an unknown end and still carry what its known end has.
         pairs = materialize(pairs, "pairs")
-        # A pair with an unknown end cannot be matched by an equi-join, so rows
-        # with a null account take their known side directly.
-        complete = F.col(SRC).isNotNull() & F.col(DST).isNotNull()
-        whole = salted_left_join(rows.where(complete), pairs, [SRC, DST], "_pair_rows")
-        partial = rows.where(~complete)
-        for part, table in account_parts.items():
-            partial = _join(partial, part, table, salted=True)
-        rows = whole.unionByName(partial)
+        rows = salted_left_join(rows, pairs, [SRC, DST], "_pair_rows", null_safe=True)
     if "bank" in parts:
         rows = _join(rows, "bank", parts["bank"], salted=True)
     return rows

@@ -31,19 +31,32 @@ def salted_left_join(
     weight: str,
     share: float = HOT_SHARE,
     salts: int = SALTS,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Left join that spreads the rows of hot keys over ``salts`` tasks.
 
     ``history`` has one row per key, and ``weight`` says how many rows the key
-    had when the history was taken. Only hot keys are replicated, and rows with a
-    null key, which can match nothing, are spread as well.
+    had when the history was taken. Only hot keys are replicated. Rows with a null
+    key match nothing and are spread as well, unless ``null_safe`` makes null a key
+    like any other.
     """
-    hot = hot_keys(history, keys, weight, share)
-    marked_hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    named = {key: f"_key_{key}" for key in keys}
+
+    def same(key: str) -> Column:
+        left, right = F.col(key), F.col(named[key])
+        return left.eqNullSafe(right) if null_safe else left == right
+
+    on_keys = [same(key) for key in keys]
+    hot = hot_keys(history, keys, weight, share).withColumnsRenamed(named)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+
+    def mark(df: DataFrame) -> DataFrame:
+        return df.join(hot, on_keys, "left").drop(*named.values())
+
     spread = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
-    left = rows.join(marked_hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | _any_null(keys), spread).otherwise(F.lit(0))
-    )
+    scattered = F.col("_hot") if null_safe else F.col("_hot") | _any_null(keys)
+    left = mark(rows).withColumn("_salt", F.when(scattered, spread).otherwise(F.lit(0))).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = history.join(marked_hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot", weight)
-    return left.drop("_hot").join(right, [*keys, "_salt"], "left").drop("_salt")
+    right = mark(history).withColumn("_copy", F.explode(copies)).drop("_hot", weight)
+    joined = left.join(right.withColumnsRenamed(named), [*on_keys, F.col("_salt") == F.col("_copy")], "left")
+    return joined.drop(*named.values(), "_salt", "_copy")

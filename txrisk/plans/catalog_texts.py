@@ -42,8 +42,12 @@ driver AS (SELECT *, round(v, 4) + 0e0 AS shap_val, CASE WHEN v > 0 THEN 'increa
     max(shap_val) AS max_value FROM driver GROUP BY 1, 2, 3""",
 )
 def top_drivers(spark, folder):
-    """Which features drive the rows, by rank and direction, over all rows."""
-    ranked = cases.with_drivers(_scored(spark, folder)).select(F.posexplode("drivers").alias("place", "d"))
+    """Which features drive the rows, by rank and direction, over all rows.
+
+    Every row has drivers, so the outer form of explode gives the same rows; the
+    inner form would make Spark evaluate the ranking once more, in a filter.
+    """
+    ranked = cases.with_drivers(_scored(spark, folder)).select(F.posexplode_outer("drivers").alias("place", "d"))
     return ranked.groupBy(
         (F.col("place") + 1).alias("driver_rank"),
         F.col("d.feature").alias("feature"),
@@ -70,7 +74,7 @@ chosen AS (SELECT *, (row_number() OVER (ORDER BY CASE case_type WHEN 'TP' THEN
 )
 def case_drivers(spark, folder):
     reports = cases.case_reports(_scored(spark, folder))
-    return reports.select("case_id", "case_type", F.posexplode("drivers").alias("place", "d")).select(
+    return reports.select("case_id", "case_type", F.posexplode_outer("drivers").alias("place", "d")).select(
         "case_id",
         "case_type",
         (F.col("place") + 1).alias("driver_rank"),
@@ -226,7 +230,7 @@ def _sentence_sql() -> str:
 def driver_sentences(spark, folder):
     """Sentences for the three strongest drivers of every row, counted."""
     sentences = text.driver_sentences(F.col("drivers"), text.payment_name(F.col("payment_format_risk")), F.col("fan_out_degree"))
-    rows = cases.with_drivers(_scored(spark, folder)).select(F.explode(sentences).alias("sentence"))
+    rows = cases.with_drivers(_scored(spark, folder)).select(F.explode_outer(sentences).alias("sentence"))
     return rows.groupBy("sentence").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -307,6 +311,6 @@ def report_issues(spark, folder):
     lambda w: upper(w[1:1]) || w[2:]), ' ') AS title FROM driver""",
 )
 def feature_titles(spark, folder):
-    drivers = cases.with_drivers(_scored(spark, folder)).select(F.explode("drivers").alias("d"))
+    drivers = cases.with_drivers(_scored(spark, folder)).select(F.explode_outer("drivers").alias("d"))
     names = drivers.select(F.col("d.feature").alias("feature")).distinct()
     return names.withColumn("title", plain_name(F.col("feature")))
