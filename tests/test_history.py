@@ -135,6 +135,13 @@ def test_large_history_gives_the_same_table(spark, skewed):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_one_large_part_is_joined_directly(skewed):
+    small, large = (fit_history(skewed, ("sender",), plain_join_rows=n) for n in (10**9, 0))
+    assert (small.large, large.large) == (frozenset(), {"sender"})
+    one, two = (history.attach_history(skewed, past) for past in (small, large))
+    assert rows_of(one) == rows_of(two.select(one.columns))
+
+
 def test_large_history_has_no_cross_join(skewed):
     past = fit_history(skewed, ("sender", "receiver", "cycle"), plain_join_rows=0)
     plan = transform(skewed, past)._jdf.queryExecution().optimizedPlan().toString()

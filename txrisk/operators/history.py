@@ -26,20 +26,21 @@ from txrisk.session import materialize
 PARTS = ("sender", "receiver", "bank", "cycle")
 
 # Up to this many rows per history table the rows are joined as they are and
-# Catalyst picks the join by the size of the written table. Beyond it, hot keys
-# are salted and account history travels through the endpoint pairs.
+# Catalyst picks the join by the size of the written table. Beyond it hot keys are
+# salted, and several large parts travel through the endpoint pairs.
 PLAIN_JOIN_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
 class History:
-    """Fitted tables; a part that was not asked for is None."""
+    """Fitted tables; a part that was not asked for is None. ``large`` names the
+    parts with too many keys for plain joins."""
 
     sender: DataFrame | None = None
     receiver: DataFrame | None = None
     bank: DataFrame | None = None
     cycle: DataFrame | None = None
-    large: bool = False
+    large: frozenset[str] = frozenset()
 
     def parts(self) -> dict[str, DataFrame]:
         found = {name: getattr(self, name) for name in PARTS}
@@ -152,7 +153,7 @@ def fit_history(
         if bank is not None:
             pending["bank"] = bank
         done = {part: job.result() for part, job in pending.items()}
-    large = any(n > plain_join_rows for _, n in done.values())
+    large = frozenset(part for part, (_, n) in done.items() if n > plain_join_rows)
     return History(**{part: table for part, (table, _) in done.items()}, large=large)
 
 
@@ -181,26 +182,25 @@ def _join(rows: DataFrame, part: str, table: DataFrame, salted: bool) -> DataFra
 def attach_history(rows: DataFrame, history: History) -> DataFrame:
     """Left-join every fitted part to the rows.
 
-    Large history: the rows' distinct endpoint pairs, two narrow columns, take the
-    joins on sender, receiver and pair; the wide rows are shuffled once, on the
-    pair, instead of three times. A stream cannot be aggregated on the way, so it
+    Small parts are joined as they are; the rows do not move. One large part costs
+    one salted shuffle. With more of them the rows' distinct endpoint pairs, two
+    narrow columns, take the joins on sender, receiver and pair, and the wide rows
+    are shuffled once, on the pair. A stream cannot be aggregated on the way, so it
     always takes the plain joins against the static tables.
     """
     parts = history.parts()
-    if not history.large or rows.isStreaming:
-        for part, table in parts.items():
-            rows = _join(rows, part, table, salted=False)
-        return rows
-    account_parts = {p: t for p, t in parts.items() if p != "bank"}
-    if account_parts:
+    large = frozenset() if rows.isStreaming else history.large
+    of_accounts = [part for part in parts if part != "bank"]
+    if len(large.intersection(of_accounts)) > 1:
         pairs = rows.groupBy(SRC, DST).agg(F.count(F.lit(1)).alias("_pair_rows"))
-        for part, table in account_parts.items():
-            pairs = _join(pairs, part, table, salted=True)
+        for part in of_accounts:
+            pairs = _join(pairs, part, parts[part], part in large)
         # A pair may have an unknown end and still carry what its known end has.
         pairs = materialize(pairs, "pairs")
         rows = salted_left_join(rows, pairs, [SRC, DST], "_pair_rows", null_safe=True)
-    if "bank" in parts:
-        rows = _join(rows, "bank", parts["bank"], salted=True)
+        of_accounts = []
+    for part in [*of_accounts, *(p for p in parts if p == "bank")]:
+        rows = _join(rows, part, parts[part], part in large)
     return rows
 
 
