@@ -1,4 +1,4 @@
-"""Declared schemas. Nothing in this package infers a schema from data."""
+"""Declared schemas. No schema is inferred from text; Parquet carries its own."""
 
 from pyspark.sql import types as T
 

@@ -10,17 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Declared, so that opening a table reads no file footer.
-SCHEMAS = {
-    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
-    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
-    "l_shipdate timestamp_ntz",
-    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
-    "o_orderdate timestamp_ntz, o_orderpriority string",
-    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
-    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
-}
-
 FORMATS = ["ACH", "Bitcoin", "Cash", "Cheque", "Credit Card", "Wire", "Reinvestment", "Other"]
 CURRENCIES = [
     "UK Pound",
@@ -50,7 +39,7 @@ def payment_stream(spark: SparkSession, folder: str, with_latency: bool = False)
     """The same payments as a stream over the order lines."""
     path = f"{folder}/lineitem.parquet"
     # A stream source takes folders; the pattern also admits a single file.
-    lines = spark.readStream.schema(SCHEMAS["lineitem"]).parquet(f"{path}*")
+    lines = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
     return payments(spark, folder, with_latency, lines)
 
 
@@ -63,7 +52,7 @@ def payments(
     """
 
     def table(name: str) -> DataFrame:
-        return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+        return spark.read.parquet(f"{folder}/{name}.parquet")
 
     lines = table("lineitem") if lines is None else lines
     orders, customers, suppliers = table("orders"), table("customer"), table("supplier")
