@@ -8,7 +8,6 @@ true size when it decides whether a join side may be broadcast.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,37 +44,23 @@ def build_session(
     return spark
 
 
-def work_folder(spark: SparkSession) -> str | None:
-    """The shared folder for intermediate tables, or None if there is none.
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, the same rule on every master.
 
-    A machine-local folder is used only by a local session that names no folder.
+    It is the folder of ``spark.checkpoint.dir``; a session that sets none uses a
+    folder inside its warehouse, which every executor shares as well.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or (
-        spark.sparkContext.getCheckpointDir()
-    )
-    if configured:
-        return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="txrisk-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext.getCheckpointDir().rstrip("/")
-    return None
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work").rstrip("/")
 
 
-def new_path(spark: SparkSession, label: str) -> str | None:
-    folder = work_folder(spark)
-    return f"{folder}/txrisk/{label}-{uuid.uuid4().hex}" if folder else None
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{work_folder(spark)}/txrisk/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` once and return the written table.
-
-    Without a shared folder the lazy frame is returned: the result is the same,
-    only recomputed by every consumer.
-    """
+    """Write ``df`` once to the work folder and return the written table."""
     spark = df.sparkSession
     target = path or new_path(spark, label)
-    if target is None:
-        return df
     df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
