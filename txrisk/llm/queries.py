@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import curriculum, host_rules
+from txrisk.llm import bpe_codec, curriculum, host_rules, token_files
 from txrisk.llm.common import new_path, read_table
 from txrisk.llm.digest_index import DigestIndex
 
@@ -25,6 +26,25 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+WORD_TOKENIZER, END_ID = "word_bpe_49k.json", 2
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+
+
+@query("op1_token_files")
+def op1_token_files(spark, sf_dir):
+    folder = new_path(spark, "token-files")
+    docs = read_table(spark, sf_dir, "documents")
+    token_files.write_tokens(docs, folder, public_tokenizers.path(WORD_TOKENIZER), END_ID)
+    return token_files.read_tokens(spark, folder, digest_only=True)
+
+
+@query("op2_bpe_codec")
+def op2_bpe_codec(spark, sf_dir):
+    docs, path = read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER)
+    encoded = bpe_codec.encode_documents(docs, path, bpe_codec.build_lexicon(docs, path))
+    return bpe_codec.digests(bpe_codec.decode_documents(encoded, path))
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _HOST_RULES = ("short", "repeats", "symbols", "lines")
