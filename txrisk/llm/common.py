@@ -6,15 +6,20 @@ operator says so. A null text counts as the empty text everywhere.
 
 from __future__ import annotations
 
+import io
 import os
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 from urllib.parse import urlparse
+from weakref import WeakSet
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import txrisk
 from txrisk.session import materialize, new_path
 
 #: The characters that part words, as a regular expression class and as plain text.
@@ -22,6 +27,8 @@ SPACES = "\\x20\\x09-\\x0D"
 SPACE_TEXT = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_SHIPPED: WeakSet = WeakSet()
+
 __all__ = ["materialize", "new_path"]
 
 
@@ -74,6 +81,25 @@ def publish_array(path: str, values: np.ndarray) -> str:
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once for a Spark context.
+
+    A job started with ``--py-files`` has it already; then this does no harm.
+    """
+    context = spark.sparkContext
+    if context in _SHIPPED:
+        return
+    top = Path(txrisk.__file__).parent
+    path = shared_file(spark, "package") + ".zip"
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(top.rglob("*.py")):
+            archive.write(file, file.relative_to(top.parent))
+    publish(path, lambda file: file.write(packed.getvalue()))
+    context.addPyFile(path)
+    _SHIPPED.add(context)
+
+
 def row_slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Short slices of Arrow batches, so that Python objects for few rows live at once."""
     for batch in batches:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.llm import bpe_codec, curriculum, host_rules, token_files
-from txrisk.llm.common import new_path, read_table
+from txrisk.llm.common import new_path, read_table, ship_package
 from txrisk.llm.digest_index import DigestIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +18,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(function):
-        QUERIES[name] = function
+        QUERIES[name] = lambda spark, sf_dir: (ship_package(spark), function(spark, sf_dir))[1]
         if sql is not None:
             ORACLES[name] = sql
         return function
