@@ -134,10 +134,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> N
     """
     place, dtype = mounted(folder), id_type(tokenizer)
     os.makedirs(place, exist_ok=True)
-    keyed = docs.select("doc_id", whole_text().alias("text")).withColumn("tie", F.xxhash64("text"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     parts = ordered.select("doc_id", "text").mapInArrow(
-        _part_writer(place, tokenizer, dtype, end_id), "part int, n_docs long, n_ids long, null_ids long"
+        _part_writer(place, tokenizer, dtype, end_id), "part long, n_docs long, n_ids long, null_ids long"
     )
     listed = sorted(map(tuple, parts.collect()))
     bases = np.concatenate([[0], np.cumsum([n for _, _, n, _ in listed], dtype=np.int64)])
