@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import bpe_codec, curriculum, host_rules, token_files
+from txrisk.llm import bpe_codec, curriculum, host_rules, simhash, token_files
 from txrisk.llm.common import new_path, read_table, ship_package
 from txrisk.llm.digest_index import DigestIndex
 
@@ -45,6 +45,13 @@ def op2_bpe_codec(spark, sf_dir):
     return bpe_codec.digests(bpe_codec.decode_documents(encoded, path))
 
 
+@query("op4_simhash")
+def op4_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return found.select("doc_id", hexed, "component_id")
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _HOST_RULES = ("short", "repeats", "symbols", "lines")
