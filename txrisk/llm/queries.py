@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import bpe_codec, curriculum, host_rules, simhash, token_files
+from txrisk.llm import bpe_codec, curriculum, host_rules, simhash, token_files, toxicity
 from txrisk.llm.common import new_path, read_table, ship_package
 from txrisk.llm.digest_index import DigestIndex
 
@@ -45,6 +45,12 @@ def op2_bpe_codec(spark, sf_dir):
     return bpe_codec.digests(bpe_codec.decode_documents(encoded, path))
 
 
+@query("op3_compression_toxicity")
+def op3_compression_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 @query("op4_simhash")
 def op4_simhash(spark, sf_dir):
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
