@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import bpe_codec, curriculum, host_rules, simhash, token_files, toxicity
+from txrisk.llm import bpe_codec, curriculum, host_rules, pii_crf, pii_rules, simhash, token_files, toxicity
 from txrisk.llm.common import new_path, read_table, ship_package
 from txrisk.llm.digest_index import DigestIndex
 
@@ -111,6 +111,23 @@ def op5_host_rules(spark, sf_dir):
     )
 
 
+def _written(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+
+def _of_kind(kind):
+    return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long")
+
+
+@query("op6_pii_crf")
+def op6_pii_crf(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    found = pii_crf.find_personal_data(docs, pii_crf.fit(docs))
+    counts = [_of_kind(kind).alias(f"n_{kind}") for kind in pii_rules.KINDS]
+    base = F.sha2(_written(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, _written(F.col("spans")).alias("spans"))
+
+
 @query(
     "op9_curriculum",
     rf"""WITH s AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(doc_id::VARCHAR) AS place FROM documents),
