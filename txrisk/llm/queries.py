@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import bpe_codec, curriculum, host_rules, pii_crf, pii_rules, simhash, token_files, toxicity
+from txrisk.llm import bpe_codec, chaining, cross_entropy, curriculum, host_rules, pii_crf, pii_rules, simhash, token_files, toxicity
 from txrisk.llm.common import new_path, read_table, ship_package
 from txrisk.llm.digest_index import DigestIndex
 
@@ -128,6 +128,24 @@ def op6_pii_crf(spark, sf_dir):
     return found.select("doc_id", *counts, base, _written(F.col("spans")).alias("spans"))
 
 
+@query("op7_cross_entropy")
+def op7_cross_entropy(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return cross_entropy.score_documents(docs, cross_entropy.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query("op8_chaining")
+def op8_chaining(spark, sf_dir):
+    return chaining.passages(read_table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 @query(
     "op9_curriculum",
     rf"""WITH s AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(doc_id::VARCHAR) AS place FROM documents),
