@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -79,7 +80,6 @@ class Vocabulary:
         self.special = {token["content"]: token["id"] for token in content["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.token_bytes = [b""] * size
-        self._numbers = list(range(size))
         for token, number in vocab.items():
             self.token_bytes[number] = bytes(letters[c] for c in token) if set(token) <= set(letters) else token.encode()
         for token, number in self.special.items():
@@ -87,10 +87,6 @@ class Vocabulary:
         longest = sorted(self.special, key=len, reverse=True)
         self.special_pattern = re.compile("|".join(map(re.escape, longest))) if longest else None
 
-    def shared(self, ids: Iterable[int]) -> tuple[int, ...]:
-        """Ids as objects that all words share."""
-        return tuple(map(self._numbers.__getitem__, ids))
-
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Exact ids of one word: the pair of the lowest rank first, leftmost among equals."""
         symbols = [self.single[byte] for byte in word]
@@ -147,7 +143,7 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}  # ids as packed 32-bit integers
 
     def _learn(self, words: set[str]) -> None:
         if len(self.words) > REMEMBERED:
@@ -158,7 +154,8 @@ class Codec:
         coded = [word.encode() for word in unknown]
         numbers = self.lexicon.numbers(coded) if self.lexicon else np.full(len(coded), -1)
         for word, raw, number in zip(unknown, coded, numbers.tolist()):
-            self.words[word] = self.vocabulary.shared(self.lexicon.ids(number)) if number >= 0 else self.vocabulary.merge(raw)
+            ids = self.lexicon.ids(number) if number >= 0 else self.vocabulary.merge(raw)
+            self.words[word] = array("i", ids).tobytes()
 
     def _segments(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Stretches of ordinary text, and special tokens with their ids."""
@@ -172,23 +169,24 @@ class Codec:
         if at < len(text):
             yield text[at:], None
 
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as packed 32-bit integers."""
         cut = [
             [(None if special is not None else words_of_text(part), special) for part, special in self._segments(text)]
             for text in texts
         ]
         self._learn({word for parts in cut for words, _ in parts if words for word in words})
-        known, coded = self.words, []
-        for parts in cut:
-            ids: list[int] = []
-            for words, special in parts:
-                if words is None:
-                    ids.append(special)
-                else:
-                    for word in words:
-                        ids += known[word]
-            coded.append(ids)
-        return coded
+        known = self.words.__getitem__
+        return [
+            b"".join(
+                np.int32(special).tobytes() if words is None else b"".join(map(known, words))
+                for words, special in parts
+            )
+            for parts in cut
+        ]
+
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(packed, dtype="<i4").tolist() for packed in self.encode_packed(texts)]
 
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
@@ -255,7 +253,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, lexicon: str | None) -> Da
         coder = codec(tokenizer, lexicon)
         for batch in row_slices(batches, 256):
             keys, texts = ids_and_texts(batch)
-            ids = pa.array(coder.encode_many(texts), pa.list_(pa.int32()))
+            packed = coder.encode_packed(texts)
+            ends = np.cumsum([0, *(len(ids) // 4 for ids in packed)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
             yield pa.RecordBatch.from_arrays([keys, ids], ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
@@ -268,7 +268,9 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(tokenizer)
         for batch in row_slices(batches):
-            texts = [known.decode(ids or ()) for ids in batch.column("ids").to_pylist()]
+            lists = batch.column("ids")
+            flat, ends = lists.flatten().to_numpy(), np.cumsum([0, *(n or 0 for n in lists.value_lengths().to_pylist())])
+            texts = [known.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"]
             )
