@@ -72,8 +72,12 @@ class DigestIndex:
     def deduplicate(self, docs: DataFrame, batch: str = "first") -> DataFrame:
         digests = materialize(docs.select("doc_id", text_digest().alias("digest")), "digests")
         self.append(digests, batch)
+        # One row per text of the batch meets the buckets of the index; the rows of a hot text
+        # then meet it in a join whose sides are both shuffled, so adaptive execution can split them.
+        texts = digests.select("digest").distinct()
+        found = materialize(texts.join(self.table().hint("merge"), "digest"), "digest-verdicts")
         verdict = (F.col("batch") == batch) & F.col("keep_id").eqNullSafe(F.col("doc_id"))
-        return digests.join(self.table(), "digest").select(
+        return digests.join(found, "digest").select(
             "doc_id",
             "keep_id",
             "group_size",
