@@ -6,8 +6,9 @@ index in a sort-merge anti-join; the digests that are new are appended. The inde
 stays where it is between sessions: opening it again only declares its folder.
 
 Everything is built from DataFrame operations. A group of copies of any size is
-counted by partial aggregation, first by (digest, doc_id). Verdicts go back to the
-documents by an equality join whose index side has one row per digest.
+counted by partial aggregation. Verdicts go back to the documents by an equality join
+of a table with one row per text of the batch, which adaptive execution splits where a
+text is hot.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from txrisk.llm.common import lower_ascii, materialize, whole_text
 
-FIELDS = "digest BINARY, keep_id BIGINT, n_keep BIGINT, group_size BIGINT, batch STRING"
+FIELDS = "digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING"
 
 
 def text_digest(text: Column | None = None) -> Column:
@@ -52,18 +53,11 @@ class DigestIndex:
 
     def append(self, digests: DataFrame, batch: str) -> None:
         """Add the texts of (doc_id, digest) rows that the index lacks."""
-        copies = digests.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
-        groups = copies.groupBy("digest").agg(
-            F.max(F.struct("doc_id", "n")).alias("last"), F.sum("n").alias("group_size")
+        groups = digests.groupBy("digest").agg(
+            F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
         )
         known = self.table().select("digest").hint("merge")
-        new = groups.join(known, "digest", "left_anti").select(
-            "digest",
-            F.col("last.doc_id").alias("keep_id"),
-            F.col("last.n").alias("n_keep"),
-            "group_size",
-            F.lit(batch).alias("batch"),
-        )
+        new = groups.join(known, "digest", "left_anti").withColumn("batch", F.lit(batch))
         if self.buckets != _shuffle_partitions(self.spark):
             new = new.repartition(self.buckets, "digest")  # else each task would write every bucket
         new.write.insertInto(self.name)
@@ -89,9 +83,9 @@ class DigestIndex:
         """The rows of a batch that stay, all columns as they came."""
         verdicts = self.deduplicate(docs, batch)
         kept = verdicts.where("kept").select("doc_id").distinct()
-        repeated = self.table().where((F.col("batch") == batch) & (F.col("n_keep") > 1))
-        # Dropping by doc_id needs distinct ids; a doc_id with several texts is settled by its digest.
-        if not _needs_digest(docs, repeated):
+        # A doc_id that names several rows, or none, is settled by its digest.
+        ids = docs.groupBy("doc_id").count()
+        if ids.where((F.col("count") > 1) | F.col("doc_id").isNull()).isEmpty():
             return docs.join(kept, "doc_id", "left_semi")
         marked = docs.withColumn("__digest", text_digest())
         chosen = self.table().where(F.col("batch") == batch)
@@ -105,11 +99,3 @@ class DigestIndex:
 
 def _shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _needs_digest(docs: DataFrame, repeated: DataFrame) -> bool:
-    """Whether doc_id fails to name one row: repeated rows, repeated or null ids."""
-    if not repeated.isEmpty():
-        return True
-    ids = docs.groupBy("doc_id").count()
-    return not ids.where((F.col("count") > 1) | F.col("doc_id").isNull()).isEmpty()
