@@ -63,3 +63,10 @@ def test_split_summary(tx):
 def test_content_text_ignores_null_and_type_noise(spark):
     df = spark.createDataFrame([(1, 2.5, None)], "a int, b double, c string")
     assert df.select(splitting.content_text(df)).first()[0] == "1|2.500000|null"
+
+
+def test_undersample_keeps_the_ratio_of_rare_positives(spark):
+    """Ten positives among two million rows: about a hundred negatives stay."""
+    rows = spark.range(2_000_000).selectExpr("id", "int(id < 10) as is_laundering")
+    kept = splitting.undersample(rows, ratio=10.0).where("is_laundering = 0").count()
+    assert 60 <= kept <= 150

@@ -33,10 +33,15 @@ def content_text(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.concat_ws("|", *[text(name) for name in columns or df.columns])
 
 
+def content_hash(df: DataFrame, salt: str, columns: list[str] | None = None) -> Column:
+    """Even 32-bit number from the content of a row."""
+    digest = F.md5(F.concat(F.lit(salt), F.lit("|"), content_text(df, columns)))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+
+
 def bucket(df: DataFrame, salt: str, columns: list[str] | None = None) -> Column:
     """Even bucket 0..9999 from the content hash."""
-    digest = F.md5(F.concat(F.lit(salt), F.lit("|"), content_text(df, columns)))
-    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % BUCKETS).cast("int")
+    return (content_hash(df, salt, columns) % BUCKETS).cast("int")
 
 
 def split_stratified(
@@ -78,9 +83,9 @@ def undersample(
     counts = df.agg(
         count_if(F.col(label) == 1).alias("pos"), count_if(F.col(label) == 0).alias("neg")
     )
-    wanted = guarded_div(F.col("pos") * F.lit(float(ratio)), F.col("neg")) * BUCKETS
+    wanted = guarded_div(F.col("pos") * F.lit(float(ratio)), F.col("neg")) * (1 << 32)
     limit = counts.select(F.coalesce(wanted, F.lit(0.0))).scalar()
-    return df.where((F.col(label) == 1) | (bucket(df, salt, columns) < limit))
+    return df.where((F.col(label) == 1) | (content_hash(df, salt, columns) < limit))
 
 
 def class_weight(df: DataFrame, label: str = LABEL) -> DataFrame:

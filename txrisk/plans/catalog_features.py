@@ -277,10 +277,10 @@ def null_fill(spark, folder):
 _TEXT_KEYS = ["ts", "from_account", "to_account", "amount_paid", "payment_format", "is_laundering"]
 
 
-def _bucket_sql(salt: str) -> str:
+def _bucket_sql(salt: str, buckets: int = 10000) -> str:
     text = """concat_ws('|', strftime(ts, '%Y-%m-%d %H:%M:%S'), from_account::VARCHAR, to_account::VARCHAR,
       amount_paid::DECIMAL(38,6)::VARCHAR, payment_format, is_laundering::VARCHAR)"""
-    return f"(('0x' || substr(md5('{salt}|' || {text}), 1, 8))::BIGINT % 10000)"
+    return f"(('0x' || substr(md5('{salt}|' || {text}), 1, 8))::BIGINT % {buckets})"
 
 
 _SPLIT = f"CASE WHEN {_bucket_sql('split-42')} < 8000 THEN 'train' ELSE 'test' END"
@@ -310,8 +310,8 @@ def split_summary(spark, folder):
     return splitting.split_summary(splitting.split_stratified(payments(spark, folder), columns=_TEXT_KEYS))
 
 
-_UNDER = f"""SELECT * FROM tx WHERE is_laundering = 1 OR {_bucket_sql('sample-42')} <
-  (SELECT sum(is_laundering) * 10e0 / sum(1 - is_laundering) * 10000 FROM tx)"""
+_UNDER = f"""SELECT * FROM tx WHERE is_laundering = 1 OR {_bucket_sql('sample-42', 1 << 32)} <
+  (SELECT sum(is_laundering) * 10e0 / sum(1 - is_laundering) * 4294967296 FROM tx)"""
 
 
 @query("undersample", f"{BASE} SELECT {_KEY_SQL} FROM ({_UNDER})")
