@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from txrisk.operators import history, network, rolling
 from txrisk.operators.history import fit_history
-from txrisk.operators.skew import hot_keys, salted_left_join
 from txrisk.plans.feature_table import feature_table, request_features, transform
 
 
@@ -121,48 +120,47 @@ def test_distinct_counts_skip_unknown_receivers(skewed):
     assert rows_of(mine) == rows_of(naive)
 
 
-def test_large_history_gives_the_same_table(spark, skewed):
-    """Salted joins over endpoint pairs, with broadcasts only for bounded lists."""
+@pytest.fixture
+def no_broadcast(spark):
+    """Shuffled joins with a skew limit that the fixture's frequent keys pass."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        if value is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, value)
+
+
+def test_shuffled_history_gives_the_same_table(skewed, no_broadcast, spark):
+    shuffled = feature_table(skewed)
+    found = rows_of(shuffled)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
     plain = feature_table(skewed)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    try:
-        past = fit_history(skewed, plain_join_rows=0)
-        assert past.large
-        salted = transform(skewed, past)
-        assert rows_of(salted) == rows_of(plain)
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-
-
-def test_one_large_part_is_joined_directly(skewed):
-    small, large = (fit_history(skewed, ("sender",), plain_join_rows=n) for n in (10**9, 0))
-    assert (small.large, large.large) == (frozenset(), {"sender"})
-    one, two = (history.attach_history(skewed, past) for past in (small, large))
-    assert rows_of(one) == rows_of(two.select(one.columns))
-
-
-def test_large_history_has_no_cross_join(skewed):
-    past = fit_history(skewed, ("sender", "receiver", "cycle"), plain_join_rows=0)
-    plan = transform(skewed, past)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Cartesian" not in plan and "Cross" not in plan
-
-
-def test_salted_join_keeps_every_row(spark):
-    rows = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
-    rows = rows.unionByName(spark.range(5).select(F.lit(None).cast("string").alias("k"), (F.col("id") + 5000).alias("id")))
-    table = rows.where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("w")).withColumn("v", F.col("w") * 2)
-    assert [r.k for r in hot_keys(table, ["k"], "w", 0.1).collect()] == ["hot"]
-    joined = salted_left_join(rows, table, ["k"], "w", share=0.1, salts=4)
-    expected = rows.join(table.drop("w"), "k", "left")
-    assert rows_of(joined.select("k", "id", "v")) == rows_of(expected.select("k", "id", "v"))
-
-
-def test_null_safe_salted_join_matches_unknown_keys(spark):
-    rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("b", 4)], "k string, id int")
-    table = spark.createDataFrame([(None, 2, "n"), ("a", 1, "x")], "k string, w long, v string")
-    joined = salted_left_join(rows, table, ["k"], "w", share=0.5, salts=3, null_safe=True)
-    assert rows_of(joined.select("id", "v")) == [(1, "n"), (2, "n"), (3, "x"), (4, None)]
+    assert shuffled.columns == plain.columns and found == rows_of(plain)
+
+
+def test_frequent_keys_are_split(skewed, no_broadcast):
+    """Input of several files, so that a frequent key's rows come from more than one map task."""
+    table = history.attach_history(skewed.repartition(8), fit_history(skewed, ("sender",)))
+    table.collect()
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "skew=true" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_each_large_part_costs_one_shuffle_of_the_rows(skewed, no_broadcast):
+    table = history.attach_history(skewed, fit_history(skewed))
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 4 and plan.count("Exchange hashpartitioning") == 8
 
 
 def test_rolling_risk_counts_strictly_earlier_rows(skewed):

@@ -20,27 +20,19 @@ from txrisk.functions.scalars import count_if, flag
 from txrisk.operators import network
 from txrisk.operators.network import DST, SRC
 from txrisk.operators.profiles import LABEL
-from txrisk.operators.skew import salted_left_join
 from txrisk.session import materialize
 
 PARTS = ("sender", "receiver", "bank", "cycle")
 
-# Up to this many rows per history table the rows are joined as they are and
-# Catalyst picks the join by the size of the written table. Beyond it hot keys are
-# salted, and several large parts travel through the endpoint pairs.
-PLAIN_JOIN_ROWS = 1_000_000
-
 
 @dataclass(frozen=True)
 class History:
-    """Fitted tables; a part that was not asked for is None. ``large`` names the
-    parts with too many keys for plain joins."""
+    """Fitted tables; a part that was not asked for is None."""
 
     sender: DataFrame | None = None
     receiver: DataFrame | None = None
     bank: DataFrame | None = None
     cycle: DataFrame | None = None
-    large: frozenset[str] = frozenset()
 
     def parts(self) -> dict[str, DataFrame]:
         found = {name: getattr(self, name) for name in PARTS}
@@ -124,7 +116,6 @@ def fit_history(
     parts: tuple[str, ...] = PARTS,
     hubs: int = fv.HUB_BANKS,
     include_self_loops: bool = True,
-    plain_join_rows: int = PLAIN_JOIN_ROWS,
 ) -> History:
     """Compute and store the history tables.
 
@@ -134,35 +125,23 @@ def fit_history(
     account_parts = [p for p in parts if p != "bank"]
     shared = len(account_parts) > 1
 
-    def stored(make, label: str) -> tuple[DataFrame, int]:
-        # Counting a written table reads file footers only.
-        table = materialize(make(), label)
-        return table, table.count()
-
     with _job_pool(tx) as submit:
-        bank = submit(lambda: stored(lambda: bank_history(tx, hubs), "bank")) if "bank" in parts else None
+        bank = submit(lambda: materialize(bank_history(tx, hubs), "bank")) if "bank" in parts else None
         edge_table = network.edges(tx)
         if shared:
             edge_table = materialize(edge_table, "edges")
         build = {
-            "sender": lambda: stored(lambda: sender_history(edge_table), "sender"),
-            "receiver": lambda: stored(lambda: receiver_history(edge_table), "receiver"),
-            "cycle": lambda: stored(lambda: cycle_history(edge_table, include_self_loops), "cycle"),
+            "sender": lambda: materialize(sender_history(edge_table), "sender"),
+            "receiver": lambda: materialize(receiver_history(edge_table), "receiver"),
+            "cycle": lambda: materialize(cycle_history(edge_table, include_self_loops), "cycle"),
         }
         pending = {part: submit(build[part]) for part in account_parts}
         if bank is not None:
             pending["bank"] = bank
-        done = {part: job.result() for part, job in pending.items()}
-    large = frozenset(part for part, (_, n) in done.items() if n > plain_join_rows)
-    return History(**{part: table for part, (table, _) in done.items()}, large=large)
+        return History(**{part: job.result() for part, job in pending.items()})
 
 
-_JOINS = {
-    "sender": ([SRC], "tx_velocity"),
-    "receiver": ([DST], "n_received"),
-    "cycle": ([SRC, DST], "n_tx"),
-    "bank": (["from_bank"], "bank_total_tx"),
-}
+_KEYS = {"sender": [SRC], "receiver": [DST], "cycle": [SRC, DST], "bank": ["from_bank"]}
 _COLUMNS = {
     "sender": ["fan_out_degree", "tx_velocity", "total_sent", "avg_sent", "amount_per_tx"],
     "receiver": ["fan_in_degree", "total_received", "avg_received"],
@@ -171,36 +150,17 @@ _COLUMNS = {
 }
 
 
-def _join(rows: DataFrame, part: str, table: DataFrame, salted: bool) -> DataFrame:
-    keys, weight = _JOINS[part]
-    if not salted:
-        return rows.join(table.select(*keys, *_COLUMNS[part]), keys, "left")
-    weighted = table.select(*keys, *_COLUMNS[part], F.col(weight).alias("_weight"))
-    return salted_left_join(rows, weighted, keys, "_weight")
-
-
 def attach_history(rows: DataFrame, history: History) -> DataFrame:
-    """Left-join every fitted part to the rows.
+    """Left-join every fitted part to the rows, the same way at every size.
 
-    Small parts are joined as they are; the rows do not move. One large part costs
-    one salted shuffle. With more of them the rows' distinct endpoint pairs, two
-    narrow columns, take the joins on sender, receiver and pair, and the wide rows
-    are shuffled once, on the pair. A stream cannot be aggregated on the way, so it
-    always takes the plain joins against the static tables.
+    The parts are stored tables of known size, so Catalyst broadcasts those under its
+    threshold and the rows do not move. Others are shuffled with the rows; adaptive
+    execution then splits the partitions of frequent keys, those of unknown accounts
+    included, by the bytes that the joined rows really have. Every key is followed by
+    another one, so such a split costs no further shuffle.
     """
-    parts = history.parts()
-    large = frozenset() if rows.isStreaming else history.large
-    of_accounts = [part for part in parts if part != "bank"]
-    if len(large.intersection(of_accounts)) > 1:
-        pairs = rows.groupBy(SRC, DST).agg(F.count(F.lit(1)).alias("_pair_rows"))
-        for part in of_accounts:
-            pairs = _join(pairs, part, parts[part], part in large)
-        # A pair may have an unknown end and still carry what its known end has.
-        pairs = materialize(pairs, "pairs")
-        rows = salted_left_join(rows, pairs, [SRC, DST], "_pair_rows", null_safe=True)
-        of_accounts = []
-    for part in [*of_accounts, *(p for p in parts if p == "bank")]:
-        rows = _join(rows, part, parts[part], part in large)
+    for part, table in history.parts().items():
+        rows = rows.join(table.select(*_KEYS[part], *_COLUMNS[part]), _KEYS[part], "left")
     return rows
 
 

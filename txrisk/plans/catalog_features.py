@@ -143,28 +143,38 @@ def all_request_features(spark, folder):
 
 @query(
     "request_violations",
-    f"""{BASE}, req AS (SELECT CASE WHEN to_account % 9 = 0 THEN NULL ELSE payment_format END AS payment_format,
-      CASE WHEN to_account % 7 = 0 THEN -amount_paid ELSE amount_paid END AS amount,
-      (from_account % 5)::INTEGER AS fan_out FROM tx),
-    bad AS (SELECT 'missing payment_format' AS reason FROM req WHERE payment_format IS NULL
-      UNION ALL SELECT 'amount not positive' FROM req WHERE amount <= 0
-      UNION ALL SELECT 'fan_out below 1' FROM req WHERE fan_out < 1
-      UNION ALL SELECT 'accepted' FROM req
-        WHERE payment_format IS NOT NULL AND amount > 0 AND fan_out >= 1)
-    SELECT reason, count(*) AS n FROM bad GROUP BY reason""",
+    f"""{BASE}, req AS (SELECT CASE WHEN to_account % 9 <> 0 THEN payment_format END AS payment_format,
+      CASE WHEN to_account % 11 <> 0 THEN CASE WHEN to_account % 7 = 0 THEN -amount_paid ELSE amount_paid END END
+        AS amount,
+      CASE WHEN from_account % 13 <> 0 THEN from_bank END AS from_bank,
+      CASE WHEN from_account % 17 <> 0 THEN to_bank END AS to_bank,
+      CASE WHEN to_account % 8 <> 0 THEN payment_currency END AS currency,
+      CASE WHEN from_account % 11 <> 0 THEN from_account % 5 END AS fan_out,
+      CASE WHEN from_account % 19 <> 0 THEN from_account % 7 END AS tx_velocity FROM tx),
+    bad AS (SELECT unnest([
+        CASE WHEN payment_format IS NULL THEN 'missing payment_format' END,
+        CASE WHEN amount IS NULL THEN 'missing amount' WHEN amount <= 0 THEN 'amount not positive' END,
+        CASE WHEN from_bank IS NULL THEN 'missing from_bank' END,
+        CASE WHEN to_bank IS NULL THEN 'missing to_bank' END,
+        CASE WHEN currency IS NULL THEN 'missing currency' END,
+        CASE WHEN fan_out IS NULL THEN 'missing fan_out' WHEN fan_out < 1 THEN 'fan_out below 1' END,
+        CASE WHEN tx_velocity IS NULL THEN 'missing tx_velocity' WHEN tx_velocity < 1 THEN 'tx_velocity below 1' END,
+        CASE WHEN payment_format IS NOT NULL AND amount > 0 AND from_bank IS NOT NULL AND to_bank IS NOT NULL
+          AND currency IS NOT NULL AND fan_out >= 1 AND tx_velocity >= 1 THEN 'accepted' END
+      ]) AS reason FROM req)
+    SELECT reason, count(*) AS n FROM bad WHERE reason IS NOT NULL GROUP BY reason""",
 )
 def request_violations(spark, folder):
-    """Requests damaged on purpose: how often each rule rejects."""
+    """Requests damaged on purpose, every rule: how often each rejects."""
+    sender, receiver, amount = F.col("from_account"), F.col("to_account"), F.col("amount_paid")
     requests = payments(spark, folder).select(
-        F.when(F.col("to_account") % 9 != 0, F.col("payment_format")).alias("payment_format"),
-        F.when(F.col("to_account") % 7 == 0, -F.col("amount_paid"))
-        .otherwise(F.col("amount_paid"))
-        .alias("amount"),
-        F.col("from_bank").cast("string").alias("from_bank"),
-        F.col("to_bank").cast("string").alias("to_bank"),
-        F.col("payment_currency").alias("currency"),
-        (F.col("from_account") % 5).cast("int").alias("fan_out"),
-        F.lit(1).alias("tx_velocity"),
+        F.when(receiver % 9 != 0, F.col("payment_format")).alias("payment_format"),
+        F.when(receiver % 11 != 0, F.when(receiver % 7 == 0, -amount).otherwise(amount)).alias("amount"),
+        F.when(sender % 13 != 0, F.col("from_bank").cast("string")).alias("from_bank"),
+        F.when(sender % 17 != 0, F.col("to_bank").cast("string")).alias("to_bank"),
+        F.when(receiver % 8 != 0, F.col("payment_currency")).alias("currency"),
+        F.when(sender % 11 != 0, (sender % 5).cast("int")).alias("fan_out"),
+        F.when(sender % 19 != 0, (sender % 7).cast("int")).alias("tx_velocity"),
     )
     reasons = cleaning.request_violations()
     named = F.explode(F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("accepted"))))
@@ -174,22 +184,29 @@ def request_violations(spark, folder):
 @query(
     "clean_rejects",
     f"""{BASE}, raw AS (SELECT CASE WHEN to_account % 13 = 0 THEN 'n/a' ELSE strftime(ts, '%Y/%m/%d %H:%M') END AS t,
-      CASE WHEN to_account % 11 = 0 THEN NULL ELSE from_account::VARCHAR END AS a FROM tx),
+      CASE WHEN to_account % 11 <> 0 THEN from_account END AS a, CASE WHEN from_account % 7 <> 0 THEN to_account END AS b,
+      CASE WHEN from_account % 11 <> 0 THEN amount_paid END AS m,
+      CASE WHEN from_account % 13 <> 0 THEN is_laundering END AS l FROM tx),
     bad AS (SELECT 'missing from_account' AS reason FROM raw WHERE a IS NULL
+      UNION ALL SELECT 'missing to_account' FROM raw WHERE b IS NULL
+      UNION ALL SELECT 'missing amount_paid' FROM raw WHERE m IS NULL
+      UNION ALL SELECT 'missing is_laundering' FROM raw WHERE l IS NULL
       UNION ALL SELECT 'bad ts' FROM raw WHERE t = 'n/a'
-      UNION ALL SELECT 'accepted' FROM raw WHERE a IS NOT NULL AND t <> 'n/a')
+      UNION ALL SELECT 'accepted' FROM raw WHERE a IS NOT NULL AND b IS NOT NULL AND m IS NOT NULL AND l IS NOT NULL
+        AND t <> 'n/a')
     SELECT reason, count(*) AS n FROM bad GROUP BY reason""",
 )
 def clean_rejects(spark, folder):
-    """Raw text rows damaged on purpose: why rows are quarantined."""
+    """Raw text rows damaged on purpose, every way: why rows are quarantined."""
+    sender, receiver = F.col("from_account"), F.col("to_account")
     raw = payments(spark, folder).select(
-        F.when(F.col("to_account") % 13 == 0, "n/a")
+        F.when(receiver % 13 == 0, "n/a")
         .otherwise(F.replace(F.substring(F.col("ts").cast("string"), 1, 16), F.lit("-"), F.lit("/")))
         .alias("ts"),
-        F.when(F.col("to_account") % 11 != 0, F.col("from_account").cast("string")).alias("from_account"),
-        F.col("to_account").cast("string").alias("to_account"),
-        "amount_paid",
-        "is_laundering",
+        F.when(receiver % 11 != 0, sender.cast("string")).alias("from_account"),
+        F.when(sender % 7 != 0, receiver.cast("string")).alias("to_account"),
+        F.when(sender % 11 != 0, F.col("amount_paid")).alias("amount_paid"),
+        F.when(sender % 13 != 0, F.col("is_laundering")).alias("is_laundering"),
     )
     good, bad = cleaning.split_rejects(raw, cleaning.reject_reasons(raw))
     accepted = cleaning.parse_timestamp(cleaning.drop_incomplete(good)).select(F.lit("accepted").alias("reason"))
@@ -235,42 +252,57 @@ def feature_lift(spark, folder):
     return profiles.feature_lift(feature_table(payments(spark, folder)))
 
 
-_LATE = f"""late AS (SELECT r.to_account, r.from_account, s.n IS NULL AS unseen, t.n IS NULL AS unpaid
-  FROM tx r LEFT JOIN (SELECT from_account, count(*) AS n FROM tx WHERE from_account % 3 = 0 GROUP BY 1) s
-    USING (from_account)
-  LEFT JOIN (SELECT to_account, count(*) AS n FROM tx WHERE from_account % 3 = 0 GROUP BY 1) t USING (to_account))"""
+_STRANGER = "to_account % 3 = 0"
+_NULLS = {
+    **dict.fromkeys(("fan_out_degree", "tx_velocity", "amount_per_tx"), _STRANGER),
+    "is_in_cycle": f"{_STRANGER} OR is_in_cycle = 0",
+}
+
+
+def _with_strangers(tx):
+    """The payments to every third receiver come from accounts that history does not know."""
+    stranger = F.when(F.expr(_STRANGER), -1 - F.col("from_account")).otherwise(F.col("from_account"))
+    return tx.withColumn("from_account", stranger)
 
 
 @query(
     "null_profile",
-    f"""{BASE}, {_LATE}
-    SELECT 'fan_out_degree' AS feature, count(*) FILTER (unseen) AS n_null FROM late
-    UNION ALL SELECT 'tx_velocity', count(*) FILTER (unseen) FROM late
-    UNION ALL SELECT 'amount_per_tx', count(*) FILTER (unseen) FROM late
-    UNION ALL SELECT 'fan_in_degree', count(*) FILTER (unpaid) FROM late
-    UNION ALL SELECT 'amount_log', 0 FROM late GROUP BY 2""",
+    BASE + " UNION ALL ".join(
+        f" SELECT '{name}' AS feature, count(*) FILTER ({_NULLS.get(name, 'false')}) AS n_null FROM feat"
+        for name in fv.FEATURES
+    ),
 )
 def null_profile(spark, folder):
-    """Nulls before filling when history knows only a third of the senders."""
+    """Nulls of all features before filling, history of all payments, some senders unknown to it."""
     tx = payments(spark, folder)
-    known = fit_history(tx.where(F.col("from_account") % 3 == 0), ("sender", "receiver"))
-    table = transform(tx, known, fill=False)
-    return profiles.null_profile(
-        table, ["fan_out_degree", "tx_velocity", "amount_per_tx", "fan_in_degree", "amount_log"]
-    )
+    return profiles.null_profile(transform(_with_strangers(tx), fit_history(tx), fill=False))
+
+
+def _filled_sql(name, value):
+    return f"CASE WHEN {_STRANGER} THEN {value} ELSE {name} END AS {name}"
 
 
 @query(
     "null_fill",
-    f"""{BASE}, s AS (SELECT from_account, count(DISTINCT to_account) AS fo, count(*) AS v FROM tx
-      WHERE from_account % 3 = 0 GROUP BY 1)
-    SELECT {_KEY_SQL}, coalesce(fo, 0) AS fan_out_degree, coalesce(v, 1) AS tx_velocity
-    FROM tx LEFT JOIN s USING (from_account)""",
+    f"""{BASE} SELECT {_KEY_SQL.replace('from_account', _filled_sql('from_account', '-1 - from_account'))},
+    {_filled_sql('fan_out_degree', 0)}, {_filled_sql('tx_velocity', 1)}, {_filled_sql('amount_per_tx', '0e0')},
+    {_filled_sql('is_high_fan_out', 0)}, {_filled_sql('is_in_cycle', 0)},
+    fan_in_degree, amount_zscore_per_bank, bank_risk_score, is_hub_bank FROM feat""",
 )
 def null_fill(spark, folder):
     tx = payments(spark, folder)
-    known = fit_history(tx.where(F.col("from_account") % 3 == 0), ("sender",))
-    return transform(tx, known).select(*_KEYS, "fan_out_degree", "tx_velocity")
+    return transform(_with_strangers(tx), fit_history(tx)).select(
+        *_KEYS,
+        "fan_out_degree",
+        "tx_velocity",
+        "amount_per_tx",
+        "is_high_fan_out",
+        "is_in_cycle",
+        "fan_in_degree",
+        "amount_zscore_per_bank",
+        "bank_risk_score",
+        "is_hub_bank",
+    )
 
 
 # --- splits ----------------------------------------------------------------
