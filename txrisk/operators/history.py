@@ -156,8 +156,8 @@ def attach_history(rows: DataFrame, history: History) -> DataFrame:
     The parts are stored tables of known size, so Catalyst broadcasts those under its
     threshold and the rows do not move. Others are shuffled with the rows; adaptive
     execution then splits the partitions of frequent keys, those of unknown accounts
-    included, by the bytes that the joined rows really have. Every key is followed by
-    another one, so such a split costs no further shuffle.
+    included, by the bytes that the joined rows really have. A stream's joins are not
+    split so.
     """
     for part, table in history.parts().items():
         rows = rows.join(table.select(*_KEYS[part], *_COLUMNS[part]), _KEYS[part], "left")
