@@ -8,6 +8,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from txrisk.operators import cases, evaluation
+from txrisk.session import materialize
 
 
 def sample(n=800, seed=3, positives=0.2):
@@ -66,10 +67,22 @@ def test_roc_area_equals_spark_ml_and_ap_is_step_wise(scored, data):
     assert mine.average_precision == pytest.approx(area, abs=1e-7)
 
 
-@pytest.mark.parametrize("slices", [2, 7, 200])
-def test_sliced_running_totals_equal_the_global_ones(scored, slices):
+@pytest.mark.parametrize("ranges", [None, 1, 7, 50])
+def test_running_totals_do_not_depend_on_the_ranges(scored, ranges):
     table = evaluation.threshold_table(scored)
-    assert rows_of(evaluation._running_sliced(table, slices)) == rows_of(evaluation._running_bounded(table))
+    stored = materialize(evaluation.in_ranges(table, ranges), "test-ranges")
+    tp = fp = 0
+    expected = []
+    for row in sorted(table.collect(), key=lambda r: -r.threshold):
+        tp, fp = tp + row.pos, fp + row.neg
+        expected.append((row.threshold, row.pos, row.neg, tp, fp))
+    assert rows_of(evaluation.running_counts(stored)) == sorted(expected, key=repr)
+
+
+def test_raw_scores_are_not_merged(spark):
+    rows = spark.createDataFrame([(0.10001, 1), (0.10002, 0)], "risk_score double, is_laundering int")
+    assert evaluation.ranking_quality(rows).first().roc_auc == 0.5
+    assert evaluation.ranking_quality(rows, digits=None).first().roc_auc == 0.0
 
 
 def test_one_class_gives_null_not_an_error(spark):

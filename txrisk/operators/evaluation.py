@@ -1,9 +1,8 @@
 """Evaluation of scores against labels.
 
-All curves start from the threshold table, one row per distinct score. Scores in
-[0, 1] with four decimals give 10,001 rows at most, whatever the input size, so a
-running total over that table is safe. For other columns the running total is
-done in two levels and no task sees more than a slice.
+All curves start from the threshold table, one row per distinct score, written once
+in descending ranges of the score. The running total is done in two levels at every
+size: inside each range, and over one row per range. No task sees more than a range.
 """
 
 from __future__ import annotations
@@ -17,21 +16,32 @@ from txrisk.operators.profiles import LABEL, class_name
 from txrisk.session import materialize
 
 EPSILON = 1e-8
-SLICES = 200
 
 
-def threshold_table(scored: DataFrame, score: str = "risk_score", label: str = LABEL, digits: int = 4) -> DataFrame:
+def threshold_table(
+    scored: DataFrame, score: str = "risk_score", label: str = LABEL, digits: int | None = 4
+) -> DataFrame:
+    """Rows of both classes per distinct score; ``digits`` of None keeps scores as they are."""
+    value = F.col(score).cast("double")
     return (
         scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-        .groupBy(F.round(F.col(score).cast("double"), digits).alias("threshold"))
+        .groupBy((value if digits is None else F.round(value, digits)).alias("threshold"))
         .agg(count_if(F.col(label) == 1).alias("pos"), count_if(F.col(label) == 0).alias("neg"))
     )
 
 
-def stored_thresholds(scored: DataFrame, score: str, label: str, digits: int) -> DataFrame:
+def in_ranges(thresholds: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Descending ranges of the score, numbered by ``part``. Their number follows the
+    shuffle partitions of the session unless given."""
+    by = F.col("threshold").desc()
+    ranged = thresholds.repartitionByRange(ranges, by) if ranges else thresholds.repartitionByRange(by)
+    return ranged.withColumn("part", F.spark_partition_id())
+
+
+def stored_thresholds(scored: DataFrame, score: str, label: str, digits: int | None) -> DataFrame:
     """The threshold table, written once: curves read it several times, the
-    scored rows are read once."""
-    return materialize(threshold_table(scored, score, label, digits), "thresholds")
+    scored rows are read once. The number of a range is stored with its rows."""
+    return materialize(in_ranges(threshold_table(scored, score, label, digits)), "thresholds")
 
 
 def _totals(thresholds: DataFrame) -> tuple[Column, Column]:
@@ -39,43 +49,22 @@ def _totals(thresholds: DataFrame) -> tuple[Column, Column]:
     return sums.select("p").scalar(), sums.select("n").scalar()
 
 
-def _running_bounded(thresholds: DataFrame) -> DataFrame:
-    # One group on purpose: the score table has 10,001 rows at most.
-    down = Window.partitionBy(F.lit(1)).orderBy(F.col("threshold").desc())
-    upto = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return thresholds.select(
-        "threshold",
-        "pos",
-        "neg",
-        F.sum("pos").over(upto).alias("tp"),
-        F.sum("neg").over(upto).alias("fp"),
-    )
-
-
-def _running_sliced(thresholds: DataFrame, slices: int = SLICES) -> DataFrame:
-    """The same running totals for any number of distinct values.
-
-    Values are cut into slices at approximate quantiles. Slice totals are summed
-    over ``slices`` rows and added to the running total inside each slice.
-    """
-    cuts = [i / slices for i in range(1, slices)]
-    bounds = thresholds.agg(F.percentile_approx("threshold", cuts, 10_000).alias("b")).scalar()
-    above = F.filter("_bounds", lambda b: b > F.col("threshold"))
-    sliced = thresholds.withColumn("_bounds", bounds).withColumn("slice", F.size(above)).drop("_bounds")
-    totals = sliced.groupBy("slice").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    before = Window.partitionBy(F.lit(1)).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+def running_counts(thresholds: DataFrame) -> DataFrame:
+    """Positives and negatives at each threshold or above, from rows with ``part``."""
+    totals = thresholds.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    # One row per range reaches this window.
+    before = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
-        "slice",
-        F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("tp0"),
-        F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("fp0"),
+        "part",
+        F.coalesce(F.sum("p").over(before), F.lit(0)).alias("tp0"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("fp0"),
     )
     inside = (
-        Window.partitionBy("slice")
+        Window.partitionBy("part")
         .orderBy(F.col("threshold").desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # ``starts`` has at most ``slices`` rows, hence the broadcast.
-    return sliced.join(F.broadcast(starts), "slice").select(
+    return thresholds.join(starts, "part").select(
         "threshold",
         "pos",
         "neg",
@@ -84,21 +73,16 @@ def _running_sliced(thresholds: DataFrame, slices: int = SLICES) -> DataFrame:
     )
 
 
-def running_counts(thresholds: DataFrame, bounded: bool = True) -> DataFrame:
-    return _running_bounded(thresholds) if bounded else _running_sliced(thresholds)
-
-
 def precision_recall_curve(
     scored: DataFrame,
     score: str = "risk_score",
     label: str = LABEL,
-    digits: int = 4,
-    bounded: bool = True,
+    digits: int | None = 4,
 ) -> DataFrame:
     """Counts, precision, recall and F1 when flagging scores >= threshold."""
     thresholds = stored_thresholds(scored, score, label, digits)
     positives, _ = _totals(thresholds)
-    counts = running_counts(thresholds, bounded)
+    counts = running_counts(thresholds)
     flagged = F.col("tp") + F.col("fp")
     precision = guarded_div(F.col("tp").cast("double"), flagged)
     recall = guarded_div(F.col("tp").cast("double"), positives)
@@ -126,8 +110,7 @@ def ranking_quality(
     scored: DataFrame,
     score: str = "risk_score",
     label: str = LABEL,
-    digits: int = 4,
-    bounded: bool = True,
+    digits: int | None = 4,
 ) -> DataFrame:
     """ROC area, with ties counted half, and step-wise average precision.
 
@@ -136,7 +119,7 @@ def ranking_quality(
     """
     thresholds = stored_thresholds(scored, score, label, digits)
     positives, negatives = _totals(thresholds)
-    counts = running_counts(thresholds, bounded)
+    counts = running_counts(thresholds)
     precision = F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))
     won = F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / F.lit(2.0))
     sums = counts.agg(
@@ -212,8 +195,8 @@ def score_density(scored: DataFrame, bins: int = 50, score: str = "risk_score",
 
 
 def score_summary(scored: DataFrame, score: str = "risk_score", label: str = LABEL) -> DataFrame:
-    """Mean, median and high counts per class, from the counted scores."""
-    counted = scored.groupBy(F.col(label), F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    """Mean, median and high counts per class, from the scores counted at four decimals."""
+    counted = scored.groupBy(F.col(label), F.round(F.col(score), 4).alias("s")).agg(F.count(F.lit(1)).alias("n"))
     zero = F.lit(0).cast("bigint")
     return counted.groupBy(label).agg(
         F.sum("n").alias("n"),
@@ -226,7 +209,7 @@ def score_summary(scored: DataFrame, score: str = "risk_score", label: str = LAB
 
 def single_feature_leakage(features: DataFrame, column: str, label: str = LABEL, digits: int = 6) -> DataFrame:
     """How well one column alone ranks the labels, with a suspicion band."""
-    quality = ranking_quality(features, column, label, digits, bounded=False)
+    quality = ranking_quality(features, column, label, digits)
     band = (
         F.when(F.col("roc_auc") > 0.80, "very high")
         .when(F.col("roc_auc") > 0.65, "moderate")

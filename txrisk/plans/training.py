@@ -28,11 +28,12 @@ SPLIT_KEYS = ["ts", "from_account", "to_account", "amount_paid", "payment_format
 @dataclass(frozen=True)
 class Settings:
     """Learner settings; the defaults are the published ones where Spark ML has
-    the same parameter."""
+    the same parameter. Boosting stops early once a round no longer helps on the
+    validation rows."""
 
     boosted_depth: int = 6
     boosted_rate: float = 0.05
-    boosted_rounds: int = 100
+    boosted_rounds: int = 1000
     early_stop_tolerance: float = 0.001
     forest_trees: int = 100
     forest_depth: int = 8
@@ -72,11 +73,19 @@ class Prepared:
         return self.train.where("is_validation")
 
 
+def mark_validation(rows: DataFrame, fit_share: float = 0.8) -> DataFrame:
+    """Adds ``is_validation`` by content hash: a row keeps its side through every step."""
+    sides = ("fit", "validation")
+    cut = splitting.split_stratified(rows, fit_share, splitting.VALIDATION_SALT, SPLIT_KEYS, sides)
+    return cut.withColumn("is_validation", F.col("split") == "validation").drop("split")
+
+
 def prepare(tx: DataFrame, settings: Settings = Settings(), temporal: bool = True) -> Prepared:
-    """Split, fit history on the training rows only, rebalance, store.
+    """Split, fit history, rebalance, store.
 
-    History is fitted on all training rows; only then are negatives thinned out,
-    so that degrees and rates keep their true values.
+    Validation rows are set aside first: history is fitted on the other training rows,
+    so neither validation nor test rows see their own label in the bank risk. Only then
+    are negatives thinned out, so that degrees and rates keep their true values.
     """
     if temporal:
         parts = splitting.split_temporal(tx, settings.train_share)
@@ -84,12 +93,9 @@ def prepare(tx: DataFrame, settings: Settings = Settings(), temporal: bool = Tru
         parts = splitting.split_stratified(tx, settings.train_share, columns=SPLIT_KEYS)
     train_rows = parts.where("split = 'train'").drop("split")
     test_rows = parts.where("split = 'test'").drop("split")
-    past = fit_history(train_rows)
+    past = fit_history(mark_validation(train_rows).where("NOT is_validation").drop("is_validation"))
     kept = splitting.undersample(train_rows, settings.negatives_per_positive, columns=SPLIT_KEYS)
-    marked = splitting.split_stratified(
-        transform(kept, past), 0.8, splitting.VALIDATION_SALT, SPLIT_KEYS, ("fit", "validation")
-    )
-    stored = materialize(marked.withColumn("is_validation", F.col("split") == "validation").drop("split"), "train")
+    stored = materialize(mark_validation(transform(kept, past)), "train")
     ratio = splitting.class_weight(stored).select("positive_weight").scalar()
     weighted = stored.withColumn("weight", F.when(F.col(LABEL) == 1, ratio).otherwise(1.0))
     return Prepared(materialize(weighted, "train-weighted"), materialize(transform(test_rows, past), "test"))
@@ -162,7 +168,7 @@ def train_ensemble(
     both = add_probability(add_probability(data.validation, boosted, "p_boosted"), forest, "p_forest")
     scored = materialize(both.select(LABEL, "p_boosted", "p_forest"), "validation-scores")
     ap = {
-        name: _value(evaluation.ranking_quality(scored, name), "average_precision")
+        name: _value(evaluation.ranking_quality(scored, name, digits=None), "average_precision")
         for name in ("p_boosted", "p_forest")
     }
     total = ap["p_boosted"] + ap["p_forest"]
@@ -232,7 +238,7 @@ def ablation_audit(
     def quality(features: list[str], suffix: str) -> DataFrame:
         model = boosted_trees(features, settings).fit(data.train)
         scored = add_probability(data.test, model, "risk_score")
-        found = evaluation.ranking_quality(scored)
+        found = evaluation.ranking_quality(scored, digits=None)
         return found.select(
             F.col("roc_auc").alias(f"roc_auc_{suffix}"), F.col("average_precision").alias(f"ap_{suffix}")
         )
