@@ -30,6 +30,7 @@ def load() -> None:
         catalog_monitoring,
         catalog_profiles,
         catalog_scores,
+        catalog_sources,
         catalog_streams,
         catalog_texts,
     )

@@ -59,7 +59,7 @@ def top_drivers(spark, folder):
     )
 
 
-_CASES = f"""
+CASE_TABLES = f"""
 ranked_case AS (SELECT *, row_number() OVER (PARTITION BY case_type ORDER BY {_ORDER}) AS case_rank FROM scored
   WHERE case_type <> 'TN'),
 chosen AS (SELECT *, (row_number() OVER (ORDER BY CASE case_type WHEN 'TP' THEN 1 WHEN 'FP' THEN 2 ELSE 3 END,
@@ -69,7 +69,7 @@ chosen AS (SELECT *, (row_number() OVER (ORDER BY CASE case_type WHEN 'TP' THEN
 
 @query(
     "case_drivers",
-    f"""{BASE}, {_DRIVERS}, {_CASES} SELECT case_id, c.case_type, driver_rank, feature, shap_val, direction
+    f"""{BASE}, {_DRIVERS}, {CASE_TABLES} SELECT case_id, c.case_type, driver_rank, feature, shap_val, direction
     FROM chosen c JOIN driver d USING ({_KEY_SQL})""",
 )
 def case_drivers(spark, folder):
@@ -86,7 +86,7 @@ def case_drivers(spark, folder):
 
 @query(
     "case_top_driver_counts",
-    f"""{BASE}, {_DRIVERS}, {_CASES} SELECT feature, count(*) AS n FROM chosen c JOIN driver d USING ({_KEY_SQL})
+    f"""{BASE}, {_DRIVERS}, {CASE_TABLES} SELECT feature, count(*) AS n FROM chosen c JOIN driver d USING ({_KEY_SQL})
     WHERE driver_rank = 1 GROUP BY feature ORDER BY n DESC, feature LIMIT 5""",
 )
 def case_top_driver_counts(spark, folder):
@@ -200,7 +200,7 @@ def report_texts(spark, folder):
 
 @query(
     "case_reports",
-    f"""{BASE}, {_REPORTS}, {_CASES} SELECT case_id, c.case_type, c.risk_score, is_laundering AS actual_label,
+    f"""{BASE}, {_REPORTS}, {CASE_TABLES} SELECT case_id, c.case_type, c.risk_score, is_laundering AS actual_label,
     c.verdict, r.explanation FROM chosen c JOIN report r USING ({_KEY_SQL})""",
 )
 def case_reports(spark, folder):
