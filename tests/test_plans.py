@@ -10,7 +10,6 @@ from txrisk.plans.feature_table import feature_table
 from txrisk.plans.scoring import score_payments
 from txrisk.sources.warehouse import payments
 
-BATCH = [n for n in contract.queries() if n in contract.oracle_sql() and not n.startswith("stream")]
 SAMPLE = ["feature_table", "cycle_pairs", "fan_out_accounts", "rate_by_hour", "drift_alerts", "pr_curve", "case_reports",
           "rolling_bank_risk", "undersample", "report_issues"]
 
@@ -26,6 +25,28 @@ def test_no_cross_join_and_no_python_in_tasks(spark, folder, name):
     assert not re.search("BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroups", text)
 
 
+@pytest.mark.parametrize("name", SAMPLE)
+def test_tables_too_large_to_broadcast_give_no_products(spark, folder, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(contract.queries()[name](spark, folder))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_live_stats_read_the_payments_once(spark, folder):
+    text = plan(contract.queries()["live_stats"](spark, folder))
+    assert len(re.findall(r"FileScan parquet .*lineitem\.parquet", text)) == 1
+
+
+def test_stored_log_reads_its_days_only(spark, folder):
+    text = plan(contract.queries()["stored_log"](spark, folder))
+    scan = next(line for line in text.splitlines() if "stored-log" in line)
+    assert "PartitionFilters: [isnotnull(dt" in scan
+
+
 def test_small_history_joins_do_not_shuffle_the_payments(spark, folder):
     text = plan(feature_table(payments(spark, folder)))
     assert text.count("BroadcastHashJoin") == 7

@@ -11,7 +11,7 @@ from txrisk.operators.history import fit_history
 from txrisk.plans.scoring import score_with
 from txrisk.sources.warehouse import payment_stream, payments
 from txrisk.streaming import monitoring
-from txrisk.streaming.scoring import append_log_stream, score_stream, start_file_sink
+from txrisk.streaming.scoring import append_log_stream, score_stream, start_file_sink, start_update_sink
 
 
 def run(query):
@@ -65,6 +65,29 @@ def test_events_daily_counts_equal_batch(spark, folder, tmp_path):
     assert rows_of(written.select(*columns)) == rows_of(closed.select(*columns))
 
 
+def test_open_windows_come_out_and_take_later_rows(spark, tmp_path):
+    """Two files, two runs: the second changes a window that the first gave out."""
+    feed, sink, checkpoint = (str(tmp_path / n) for n in ("feed", "sink", "checkpoint"))
+    shape = "ts timestamp_ntz, payment_format string, verdict string"
+
+    def feed_and_run(*times):
+        rows = spark.createDataFrame([(t, "ACH", "FLAGGED") for t in times], "t string, payment_format string, verdict string")
+        typed = rows.select(F.col("t").cast("timestamp_ntz").alias("ts"), "payment_format", "verdict")
+        typed.coalesce(1).write.mode("append").parquet(feed)
+        mix = monitoring.daily_mix(spark.readStream.schema(shape).parquet(feed))
+        run(start_update_sink(mix, sink, checkpoint))
+        keys = ["window_start", "window_end", "payment_format"]
+        current = monitoring.latest_windows(spark.read.parquet(sink), keys)
+        return {(str(r.window_start)[:10], r.n, r.is_open) for r in current.collect()}
+
+    assert feed_and_run("2024-01-01 10:00:00", "2024-01-02 10:00:00") == {("2024-01-01", 1, 1), ("2024-01-02", 1, 1)}
+    assert feed_and_run("2024-01-02 11:00:00", "2024-01-04 10:00:00") == {
+        ("2024-01-01", 1, 0),
+        ("2024-01-02", 2, 0),
+        ("2024-01-04", 1, 1),
+    }
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
 def test_window_bounds_do_not_depend_on_the_session_zone(spark, zone):
     before = spark.conf.get("spark.sql.session.timeZone")

@@ -47,16 +47,25 @@ _SUMMED = {
 }
 
 
-def summarise(rows: DataFrame, *keys: str | Column) -> DataFrame:
-    """Additive sums per key and score."""
-    return rows.groupBy(*keys, "risk_score").agg(
+def _score() -> Column:
+    """Scores count at four decimals, which bounds the rows per key to 10,001."""
+    return F.round("risk_score", 4).alias("risk_score")
+
+
+def summarise(rows: DataFrame, *keys: str | Column, also: tuple[Column, ...] = ()) -> DataFrame:
+    """Additive sums per key and score, and the aggregates of ``also``."""
+    return rows.groupBy(*keys, _score()).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(value()).alias(name) for name, value in _SUMMED.items()],
+        *also,
     )
 
 
-def nearest_rank(counted: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
-    """Score at 0-based position int(n * share) of the sorted scores, per key.
+def nearest_rank(
+    counted: DataFrame, keys: list[str], shares: dict[str, float], also: tuple[Column, ...] = ()
+) -> DataFrame:
+    """Score at 0-based position int(n * share) of the sorted scores, per key, and the
+    aggregates of ``also`` in the same pass.
 
     ``counted`` has one row per key and score, so the running total is over 10,001
     rows per key at most.
@@ -64,8 +73,7 @@ def nearest_rank(counted: DataFrame, keys: list[str], shares: dict[str, float])
     ordered = Window.partitionBy(*keys).orderBy("risk_score")
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counted.select(
-        *keys,
-        "risk_score",
+        "*",
         F.sum("n").over(upto).alias("_upto"),
         F.sum("n").over(Window.partitionBy(*keys)).alias("_all"),
     )
@@ -74,7 +82,8 @@ def nearest_rank(counted: DataFrame, keys: list[str], shares: dict[str, float])
         *[
             F.min(F.when(F.col("_upto") > at, F.col("risk_score"))).alias(name)
             for name, at in position.items()
-        ]
+        ],
+        *also,
     )
 
 
@@ -88,10 +97,7 @@ def metrics_from_summary(summary: DataFrame, keys: list[str]) -> DataFrame:
     def mean(name: str) -> Column:
         return mean_of_sum(F.sum(name).cast("double"), n)
 
-    percentile = nearest_rank(summary, keys, {"score_p95": 0.95}).withColumn(
-        "score_p95", F.round("score_p95", 4)
-    )
-    wide = summary.groupBy(*keys).agg(
+    sums = (
         n.alias("n_transactions"),
         share("flagged").alias("flag_rate"),
         mean_of_sum(F.sum(F.col("risk_score") * F.col("n")), n).alias("avg_risk_score"),
@@ -108,7 +114,7 @@ def metrics_from_summary(summary: DataFrame, keys: list[str]) -> DataFrame:
         mean("bank_risk").alias("avg_bank_risk"),
         F.round(guarded_div(F.sum("ms").cast("double"), F.sum("timed")), 1).alias("avg_processing_ms"),
     )
-    return wide.join(percentile, keys).select(*keys, "n_transactions", *METRICS)
+    return nearest_rank(summary, keys, {"score_p95": 0.95}, sums).select(*keys, "n_transactions", *METRICS)
 
 
 def lookback_summary(
@@ -311,16 +317,15 @@ def monitor_health(log: DataFrame, as_of: str | datetime, min_rows: int = fv.MIN
 def live_stats(log: DataFrame, as_of: str | datetime, days: int = 7) -> DataFrame:
     counted = (
         lookback(log, as_of, days)
-        .groupBy(F.lit(days).alias("period_days"), "risk_score")
+        .groupBy(F.lit(days).alias("period_days"), _score())
         .agg(F.count(F.lit(1)).alias("n"), count_if(F.col("verdict") == "FLAGGED").alias("flagged"))
     )
-    keys = ["period_days"]
-    wide = counted.groupBy(*keys).agg(
+    sums = (
         F.sum("n").alias("n_transactions"),
         (F.sum("flagged").cast("double") / F.sum("n")).alias("flag_rate"),
         mean_of_sum(F.sum(F.col("risk_score") * F.col("n")), F.sum("n")).alias("avg_score"),
     )
-    return wide.join(nearest_rank(counted, keys, {"score_p95": 0.95, "score_p99": 0.99}), keys)
+    return nearest_rank(counted, ["period_days"], {"score_p95": 0.95, "score_p99": 0.99}, sums)
 
 
 def format_mix(log: DataFrame, as_of: str | datetime, days: int = 7) -> DataFrame:
@@ -353,20 +358,12 @@ def recent_predictions(log: DataFrame, as_of: str | datetime, k: int = 10, days:
     )
 
 
-def score_shift(
-    reference: DataFrame, current: DataFrame, score: str = "risk_score", floor: float = 1e-4
-) -> DataFrame:
+def score_shift(rows: DataFrame, is_current: Column, score: str = "risk_score", floor: float = 1e-4) -> DataFrame:
     """Kolmogorov-Smirnov distance over all scores and population stability index
-    over deciles, between two sets of scores."""
-
-    def counted(rows: DataFrame, side: str) -> DataFrame:
-        other = "cur" if side == "ref" else "ref"
-        return rows.groupBy(F.round(score, 4).alias("s")).agg(
-            F.count(F.lit(1)).alias(side), F.lit(0).cast("bigint").alias(other)
-        )
-
-    both = counted(reference, "ref").unionByName(counted(current, "cur"))
-    both = both.groupBy("s").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+    over deciles, between the rows of ``is_current`` and all others, in one pass."""
+    both = rows.groupBy(F.round(score, 4).alias("s")).agg(
+        count_if(~F.coalesce(is_current, F.lit(False))).alias("ref"), count_if(is_current).alias("cur")
+    )
     both = materialize(both, "score-counts")
     # One group on purpose: 10,001 distinct scores at most.
     whole = Window.partitionBy(F.lit(1))

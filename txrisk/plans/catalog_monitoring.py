@@ -7,7 +7,8 @@ from txrisk.operators import drift
 from txrisk.plans.catalog import query
 from txrisk.plans.oracle import AS_OF, BASE, DRIFT, half_up, mean4
 from txrisk.plans.scoring import prediction_log
-from txrisk.sources.prediction_log import as_of_literal, recent_rows
+from txrisk.session import new_path
+from txrisk.sources.prediction_log import append_predictions, as_of_literal, read_log, recent_rows
 from txrisk.sources.warehouse import payments
 
 _METRICS = ", ".join(drift.METRICS)
@@ -23,6 +24,14 @@ def log_lookback(spark, folder):
     return recent_rows(_log(spark, folder), AS_OF, 7)
 
 
+@query("stored_log", f"{BASE} SELECT {', '.join(schemas.LOOKBACK_COLUMNS)} FROM recent WHERE period_days = 30")
+def stored_log(spark, folder):
+    """The whole log appended to day partitions; the lookback lists and reads its own days only."""
+    path = new_path(spark, "stored-log")
+    append_predictions(_log(spark, folder), path, strict=True)
+    return recent_rows(read_log(spark, path), AS_OF, 30)
+
+
 @query("drift_metrics", f"{BASE} SELECT period_days, n_transactions, {_METRICS} FROM metrics WHERE {_WEEK}")
 def drift_metrics(spark, folder):
     return drift.drift_metrics(_log(spark, folder), AS_OF, [7])
@@ -39,15 +48,15 @@ def drift_alerts(spark, folder):
     return drift.order_alerts(drift.drift_alerts(metrics, ["period_days"]))
 
 
-@query(
-    "drift_status",
-    f"""{DRIFT} SELECT period_days, n_transactions, n_alerts, status, CASE status
+STATUS_SQL = """n_transactions, n_alerts, status, CASE status
       WHEN 'STABLE' THEN 'Model is performing within expected parameters. Continue standard monitoring.'
       WHEN 'MINOR_DRIFT' THEN 'Minor distributional shifts detected. No immediate action required. Review in 7 days.'
       WHEN 'DRIFT_DETECTED' THEN 'Significant drift detected in: ' || high_metrics || '. Schedule model retraining within 30 days. Increase manual review rate for flagged transactions in the interim.'
       WHEN 'CRITICAL_DRIFT' THEN 'CRITICAL: Model may no longer be reliable. Immediately increase manual review to 100% of flagged transactions. Initiate emergency retraining procedure. Notify compliance team.'
-      END AS recommendation FROM status""",
-)
+      END AS recommendation"""
+
+
+@query("drift_status", f"{DRIFT} SELECT period_days, {STATUS_SQL} FROM status")
 def drift_status(spark, folder):
     return drift.drift_status(drift.drift_metrics(_log(spark, folder), AS_OF), ["period_days"])
 
@@ -133,9 +142,7 @@ def recent_predictions(spark, folder):
     SELECT (SELECT round(max(gap), 6) FROM g) AS ks, (SELECT round(sum((q - p) * ln(q / p)), 6) FROM d) AS psi""",
 )
 def score_shift(spark, folder):
-    log = _log(spark, folder)
-    cut = as_of_literal(AS_OF)
-    return drift.score_shift(log.where(F.col("ts") < cut), log.where(F.col("ts") >= cut))
+    return drift.score_shift(_log(spark, folder), F.col("ts") >= as_of_literal(AS_OF))
 
 
 @query(

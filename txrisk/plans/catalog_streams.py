@@ -1,13 +1,16 @@
 """Named queries that run a stream over the tables to its end."""
 
+from pyspark.sql import types as T
+
 from txrisk.operators import drift
 from txrisk.operators.history import fit_history
 from txrisk.plans.catalog import query
-from txrisk.plans.oracle import BASE, mean4
-from txrisk.session import new_path
+from txrisk.plans.catalog_monitoring import STATUS_SQL
+from txrisk.plans.oracle import BASE, drift_ctes, mean4
+from txrisk.session import materialize, new_path
 from txrisk.sources.warehouse import payment_stream, payments
 from txrisk.streaming import monitoring
-from txrisk.streaming.scoring import log_stream, score_stream, start_file_sink
+from txrisk.streaming.scoring import log_stream, score_stream, start_file_sink, start_update_sink
 
 _METRICS = ", ".join(drift.METRICS)
 
@@ -20,6 +23,16 @@ def _run(stream, spark, label):
     return spark.read.schema(stream.schema).parquet(sink)
 
 
+def _windows(stream, spark, label, keys):
+    """Run a windowed stream over what is there now; all windows, with ``is_open``."""
+    sink = new_path(spark, label)
+    running = start_update_sink(stream, sink, new_path(spark, f"{label}-checkpoint"))
+    running.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    updates = spark.read.schema(schema).parquet(sink)
+    return monitoring.latest_windows(updates, ["window_start", "window_end", *keys])
+
+
 def _stream_session(spark):
     """A session whose stateful operators have one partition per core, since
     adaptive execution does not resize them."""
@@ -43,8 +56,8 @@ def stream_scores(spark, folder):
     return _run(scored.select(*_SCORES.split(", ")), spark, "stream-scores")
 
 
-# A window is closed once the latest row is more than the allowed delay past its end.
-_CLOSED = "window_end <= (SELECT max(ts) FROM log) - INTERVAL 1 DAY"
+# A window is open until the latest row is more than the allowed delay past its end.
+_OPEN = "CASE WHEN window_end > (SELECT max(ts) FROM log) - INTERVAL 1 DAY THEN 1 ELSE 0 END AS is_open"
 
 
 @query(
@@ -52,16 +65,15 @@ _CLOSED = "window_end <= (SELECT max(ts) FROM log) - INTERVAL 1 DAY"
     f"""{BASE}, m AS (SELECT date_trunc('day', ts)::TIMESTAMP AS window_start,
       date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS window_end, payment_format, count(*) AS n,
       count(*) FILTER (verdict = 'FLAGGED') AS flagged FROM log GROUP BY 1, 2, 3)
-    SELECT *, round(flagged::DOUBLE / n, 6) AS flag_rate FROM m WHERE {_CLOSED}""",
+    SELECT *, round(flagged::DOUBLE / n, 6) AS flag_rate, {_OPEN} FROM m""",
 )
 def stream_daily_mix(spark, folder):
     parts = ("sender", "bank", "cycle")
-    return _run(monitoring.daily_mix(log_stream(_scored_stream(spark, folder, parts))), spark, "stream-mix")
+    mix = monitoring.daily_mix(log_stream(_scored_stream(spark, folder, parts)))
+    return _windows(mix, spark, "stream-mix", ["payment_format"])
 
 
-@query(
-    "stream_drift",
-    f"""{BASE}, w AS (SELECT date_trunc('day', ts)::TIMESTAMP - to_days(k) AS window_start, log.* FROM log, range(7) t(k)),
+_WINDOWS = f"""w AS (SELECT date_trunc('day', ts)::TIMESTAMP - to_days(k) AS window_start, log.* FROM log, range(7) t(k)),
     p AS (SELECT window_start, risk_score, row_number() OVER (PARTITION BY window_start ORDER BY risk_score) - 1 AS pos,
       count(*) OVER (PARTITION BY window_start) AS n FROM w),
     q AS (SELECT window_start, min(CASE WHEN pos = floor(n * 95e-2) THEN risk_score END) AS score_p95 FROM p GROUP BY 1),
@@ -78,9 +90,28 @@ def stream_daily_mix(spark, folder):
       {mean4('bank_risk_score')} AS avg_bank_risk,
       round((round(sum(CASE WHEN processing_ms > 0 THEN processing_ms END), 6)
         / count(CASE WHEN processing_ms > 0 THEN 1 END))::VARCHAR::DECIMAL(38,18), 1)::DOUBLE AS avg_processing_ms
-      FROM w JOIN q USING (window_start) GROUP BY window_start)
-    SELECT window_start, window_end, n_transactions, {_METRICS} FROM m WHERE {_CLOSED}""",
-)
-def stream_drift(spark, folder):
+      FROM w JOIN q USING (window_start) GROUP BY window_start),
+    windows AS (SELECT window_start, window_end, {_OPEN}, n_transactions, {_METRICS} FROM m)"""
+
+
+def _window_metrics(spark, folder):
     log = log_stream(_scored_stream(spark, folder, ("sender", "bank", "cycle")))
-    return monitoring.window_metrics(_run(monitoring.window_summary(log), spark, "stream-summary"))
+    return monitoring.window_metrics(_windows(monitoring.window_summary(log), spark, "stream-summary", ["risk_score"]))
+
+
+@query("stream_drift", f"{BASE}, {_WINDOWS} SELECT * FROM windows")
+def stream_drift(spark, folder):
+    return _window_metrics(spark, folder)
+
+
+_KEYS = ["window_start", "window_end", "is_open"]
+
+
+@query(
+    "stream_drift_status",
+    f"{BASE}, {_WINDOWS}, {drift_ctes('windows', ', '.join(_KEYS))} SELECT {', '.join(_KEYS)}, {STATUS_SQL} FROM status",
+)
+def stream_drift_status(spark, folder):
+    """Alerts of every window, drawn together to its status and advice."""
+    metrics = materialize(_window_metrics(spark, folder), "window-metrics")
+    return drift.drift_status(metrics, _KEYS)

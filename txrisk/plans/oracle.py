@@ -225,18 +225,20 @@ _METRIC_ROWS = ", ".join(
 _UP = {m: a[0] for m, a in fv.DRIFT_ACTIONS.items()}
 _DOWN = {m: a[1] for m, a in fv.DRIFT_ACTIONS.items()}
 
-DRIFT = f"""{BASE},
-base(position, metric, baseline, threshold) AS (VALUES {_METRIC_ROWS}),
+
+def drift_ctes(source: str, keys: str) -> str:
+    """Comparison, alerts and status of the metrics in ``source``, per ``keys``."""
+    return f"""base(position, metric, baseline, threshold) AS (VALUES {_METRIC_ROWS}),
 long AS (
-  UNPIVOT metrics ON COLUMNS(* EXCLUDE (period_days, n_transactions)) INTO NAME metric VALUE current
+  UNPIVOT {source} ON COLUMNS(* EXCLUDE ({keys}, n_transactions)) INTO NAME metric VALUE current
 ),
 compared AS (
-  SELECT l.period_days, l.n_transactions, b.position::INTEGER AS position, l.metric, b.baseline, b.threshold,
+  SELECT {keys}, l.n_transactions, b.position::INTEGER AS position, l.metric, b.baseline, b.threshold,
          l.current, (l.current - b.baseline) / abs(b.baseline) AS change
   FROM long l JOIN base b USING (metric) WHERE l.current IS NOT NULL
 ),
 alerts AS (
-  SELECT period_days, metric, position, baseline, current,
+  SELECT {keys}, metric, position, baseline, current,
          round(abs(change) * 100e0, 1) AS change_pct,
          CASE WHEN current > baseline THEN '{fv.DIRECTION_UP}' ELSE '{fv.DIRECTION_DOWN}' END AS direction,
          CASE WHEN abs(change) / threshold >= 2 THEN 'CRITICAL'
@@ -247,23 +249,26 @@ alerts AS (
   FROM compared WHERE n_transactions >= 20 AND abs(change) > threshold
 ),
 counted AS (
-  SELECT period_days, count(*) AS n_alerts,
+  SELECT {keys}, count(*) AS n_alerts,
          count(*) FILTER (severity = 'CRITICAL') AS n_critical,
          count(*) FILTER (severity = 'HIGH') AS n_high,
          string_agg(metric, ', ' ORDER BY position) FILTER (severity = 'HIGH') AS high_metrics
-  FROM alerts GROUP BY period_days
+  FROM alerts GROUP BY {keys}
 ),
 status AS (
-  SELECT period_days, n_transactions, coalesce(n_alerts, 0)::BIGINT AS n_alerts, high_metrics,
+  SELECT {keys}, n_transactions, coalesce(n_alerts, 0)::BIGINT AS n_alerts, high_metrics,
          CASE WHEN n_transactions < 20 THEN 'INSUFFICIENT_DATA'
               WHEN n_critical > 0 THEN 'CRITICAL_DRIFT'
               WHEN n_high > 0 THEN 'DRIFT_DETECTED'
               WHEN n_alerts > 0 THEN 'MINOR_DRIFT' ELSE 'STABLE' END AS status
-  FROM metrics LEFT JOIN counted USING (period_days)
+  FROM {source} LEFT JOIN counted USING ({keys})
 )
 """
 
 
+DRIFT = f"{BASE}, {drift_ctes('metrics', 'period_days')}"
+
+
 def rate_sql(dimension: str, name: str) -> str:
     return f"""{BASE}
 SELECT {dimension} AS {name},

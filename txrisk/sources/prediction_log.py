@@ -43,8 +43,12 @@ def to_log(scored: DataFrame) -> DataFrame:
 
 
 def append_predictions(rows: DataFrame, path: str, strict: bool = False) -> bool:
-    """Append to the log. A failed write is reported, not raised, unless strict."""
-    dated = rows.withColumn("dt", F.to_date("ts"))
+    """Append to the log. A failed write is reported, not raised, unless strict.
+
+    Rows are gathered by day before the write, so a day gets few files; adaptive
+    execution splits a day that is too large for one task.
+    """
+    dated = rows.withColumn("dt", F.to_date("ts")).hint("rebalance", F.col("dt"))
     try:
         dated.write.mode("append").partitionBy("dt").parquet(path)
         return True

@@ -44,6 +44,20 @@ def start_file_sink(
     return writer.trigger(**trigger).start()
 
 
+def start_update_sink(
+    stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, every: str = "1 minute"
+) -> StreamingQuery:
+    """Store what each batch changed in a folder of its own. A batch that is run again
+    overwrites its folder, so no version appears twice."""
+
+    def store(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    writer = stream.writeStream.outputMode("update").foreachBatch(store)
+    trigger = {"availableNow": True} if available_now else {"processingTime": every}
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def append_log_stream(scored: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
     dated = to_log(scored).withColumn("dt", F.to_date("ts"))
     return start_file_sink(dated, path, checkpoint, partition_by="dt", **options)
