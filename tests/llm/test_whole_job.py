@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from txrisk.llm import near_copies
+from txrisk.llm import near_copies, toxicity
 from txrisk.llm.common import ship_package
 
 
@@ -54,3 +54,25 @@ def test_near_copies_with_changed_words_go(spark, folder):
     assert found == dict(enumerate(label))
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
     assert sorted(r.doc_id for r in stage(spark, docs, folder).collect()) == sorted(set(label))
+
+
+def test_every_character_of_a_long_word_is_in_a_window():
+    text = "".join(chr(0x4E00 + k) for k in range(3000))
+    told = b"".join(toxicity.windows(text)).decode()
+    assert all(text[k : k + 16] in told for k in range(2985))
+    assert list(toxicity.windows("a b " * 3)) == [b" a b a b a b "]
+
+
+def test_toxic_wording_inside_a_long_word_counts(spark):
+    pick = random.Random(1)
+    texts, toxic = [], []
+    for k in range(400):
+        told = words(pick, 80)
+        toxic.append(int(k % 8 == 0))
+        for _ in range(3 * toxic[-1]):
+            told.insert(pick.randrange(80), pick.choice(["worthlesstrash", "patheticfools", "disgustinglout"]))
+        texts.append(" ".join(told))
+    labels = spark.createDataFrame([(k, 1, t) for k, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(table(spark, texts), labels)
+    joined = ["_".join(words(pick, 20) + more + words(pick, 20)) for more in ([], ["worthlesstrash", "patheticfools", "disgustinglout"])]
+    assert toxicity.saved_bytes(model, joined[1]).max() > toxicity.saved_bytes(model, joined[0]).max()

@@ -37,8 +37,8 @@ MAX_TOXIC, MAX_ORDINARY, MAX_WORDS, MAX_WINDOWS = 4000, 8000, 2000, 20000
 #: document, and so many times as many for a document as in ordinary ones. Copies of one text repeat its words after the same words, and do not count.
 MIN_CONTEXTS, MIN_SHARE, MIN_RATIO = 3, 0.01, 8.0
 WINDOW_WORDS = 16
-#: Longer words count with their first and last characters only in windows, so that a window stays small.
-WORD_CHARS = 64
+#: Longer words are cut into pieces, each with the last WORD_OVERLAP characters of the one before, so that a window stays small.
+WORD_CHARS, WORD_OVERLAP = 64, 16
 TOXIC_BYTES, ORDINARY_BYTES = 8192, 16384
 #: The share of ordinary windows that may save more than the window threshold.
 WINDOW_QUANTILE = 0.99
@@ -50,13 +50,21 @@ def normal_words(text: str) -> list[str]:
     return text.lower().translate(_STOPS).split()
 
 
+def pieces(words: Iterable[str]) -> Iterator[str]:
+    """Words of WORD_CHARS characters at most; a longer one gives all its characters in several pieces."""
+    for word in words:
+        if len(word) <= WORD_CHARS:
+            yield word
+        else:
+            for start in range(0, len(word) - WORD_OVERLAP, WORD_CHARS - WORD_OVERLAP):
+                yield word[start : start + WORD_CHARS]
+
+
 def windows(text: str) -> Iterator[bytes]:
-    """Consecutive windows of whole words between spaces; a text without words has one empty window."""
-    words = normal_words(text)
+    """Consecutive windows of words between spaces; a text without words has one empty window."""
+    words = list(pieces(normal_words(text)))
     for start in range(0, len(words), WINDOW_WORDS):
-        part = words[start : start + WINDOW_WORDS]
-        short = (w if len(w) <= WORD_CHARS else w[: WORD_CHARS // 2] + w[-WORD_CHARS // 2 :] for w in part)
-        yield f" {' '.join(short)} ".encode()
+        yield f" {' '.join(words[start : start + WINDOW_WORDS])} ".encode()
     if not words:
         yield b" "
 
@@ -153,8 +161,8 @@ def _distinguishing(rows: DataFrame) -> list[str]:
         for batch in row_slices(batches, 64):
             found = set()
             for text, toxic in zip(ids_and_texts(batch)[1], batch.column("toxic").to_pylist()):
-                told = normal_words(text)
-                found.update((w, before, toxic) for before, w in zip(["", *told], told) if len(w) <= WORD_CHARS)
+                told = list(pieces(normal_words(text)))
+                found.update((w, before, toxic) for before, w in zip(["", *told], told))
             columns = zip(*found) if found else ((), (), ())
             kinds = (pa.string(), pa.string(), pa.int32())
             arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds)]
@@ -176,7 +184,7 @@ def _toxic_stretches(rows: DataFrame, words: frozenset[str]) -> list[bytes]:
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, 64):
-            told = (" ".join(w for w in normal_words(t) if w in words) for t in ids_and_texts(batch)[1])
+            told = (" ".join(w for w in pieces(normal_words(t)) if w in words) for t in ids_and_texts(batch)[1])
             yield pa.RecordBatch.from_arrays([pa.array([w for t in told for w in windows(t)], pa.binary())], ["w"])
 
     return _bounded(rows.where("toxic = 1").mapInArrow(cut, "w binary"))
