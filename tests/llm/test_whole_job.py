@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from txrisk.llm import near_copies, toxicity
+from txrisk.llm import near_copies, pii_crf, toxicity
 from txrisk.llm.common import ship_package
 
 
@@ -76,3 +76,24 @@ def test_toxic_wording_inside_a_long_word_counts(spark):
     model = toxicity.fit(table(spark, texts), labels)
     joined = ["_".join(words(pick, 20) + more + words(pick, 20)) for more in ([], ["worthlesstrash", "patheticfools", "disgustinglout"])]
     assert toxicity.saved_bytes(model, joined[1]).max() > toxicity.saved_bytes(model, joined[0]).max()
+
+
+def test_spans_across_the_cuts_of_a_long_line(spark):
+    """A number is found wherever it stands in a long line, and a mark behind 48 characters counts."""
+    pick = random.Random(2)
+    word = lambda: "".join(pick.choices(["the", "ion", "er", "an", "st"], k=2))
+    made = lambda: "+1 (784) 555-%d" % pick.randrange(1000, 9999)
+    train = [" ".join([*[word() for _ in range(9)], made(), *[word() for _ in range(9)]]) for _ in range(300)]
+    train += [" ".join(word() for _ in range(20)) for _ in range(300)]
+    tagger = pii_crf.Tagger(pii_crf.fit(table(spark, train)))
+    texts = [" ".join([*[word() for _ in range(k)], "(784) 555-8120", *[word() for _ in range(400 - k)]]) for k in range(400)]
+    for text, (_, spans) in zip(texts, pii_crf.all_spans(texts, tagger)):
+        at = text.index("(784)")
+        assert spans == [("phone", at, at + 14)]
+    lines = [text.split() for text in texts[::40]]
+    whole, pii_crf.CHAIN = tagger.decode(lines), 10**6
+    try:
+        assert all(np.array_equal(a, b) for a, b in zip(whole, tagger.decode(lines)))
+    finally:
+        pii_crf.CHAIN = 192
+    assert "@" in pii_crf.shape("x1" * 40 + "@" + "site.example")

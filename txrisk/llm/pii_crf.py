@@ -4,7 +4,9 @@ The base rules label the tokens of a bounded sample of documents; that small tab
 forms that people also write and the rules miss (a phone number without its plus sign, a
 card number in groups, an address with a port), trains the field. Decoding reads every
 whole text: tokens become shapes, shapes become rows of score tables, and Viterbi runs in
-numpy over batches of chains. A chain is a line, or each CHAIN tokens of a longer line.
+numpy over batches of chains. A chain is a line. A line of more than CHAIN tokens is decoded
+in chains that overlap by twice MARGIN; features of neighbours come from the whole line, and
+a token's tag from the chain that has it MARGIN tokens or more inside, or up to the line's end.
 
 The field adds spans to those of the base rules and never changes them. Null and empty
 texts have no spans. Without any labelled token nothing is added.
@@ -27,7 +29,7 @@ from txrisk.llm.pii_rules import KINDS, Span, base_spans
 
 #: Documents of the training sample: those of the smallest hash of doc_id.
 SAMPLE_DOCS = 3000
-CHAIN, EPOCHS, STEP, RIDGE = 64, 60, 0.2, 1e-3
+CHAIN, MARGIN, EPOCHS, STEP, RIDGE = 192, 32, 60, 0.2, 1e-3
 #: Tokens around a labelled one that enter the training table.
 CONTEXT = 8
 #: Shapes that a worker remembers by token before it starts afresh.
@@ -45,7 +47,7 @@ def shape(token: str) -> str:
     if core.isalpha() and core.isascii():
         return "a" if core.islower() else "A" if core.isupper() else "Aa"
     kinds = []
-    for c in core[:48]:
+    for c in core:
         kinds.append("9" if c in "0123456789" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else c if c < "\x7f" else "u")
     text = "".join(kinds)
     letters = re.sub(r"([aAu])\1+", r"\1", text)
@@ -213,34 +215,40 @@ class Tagger:
 
     def number(self, token: str) -> int:
         form = shape(token)
-        if form not in self.shapes:
+        known = " ".join(shape_features(form)) if len(form) > 48 else form  # short, however long the token
+        if known not in self.shapes:
             if len(self.shapes) == len(self.tables):
                 self.tables = np.concatenate([self.tables, np.zeros_like(self.tables)])
             self.tables[len(self.shapes)] = self.field.rows(form)
-            self.shapes[form] = len(self.shapes)
+            self.shapes[known] = len(self.shapes)
         if len(token) <= 64:
-            self.tokens[token] = self.shapes[form]
-        return self.shapes[form]
+            self.tokens[token] = self.shapes[known]
+        return self.shapes[known]
 
     def reset(self) -> None:
         if len(self.tokens) > REMEMBERED or len(self.shapes) > REMEMBERED // 5:
             self.tokens.clear()
             self.shapes.clear()
 
-    def decode(self, chains: list[list[str]]) -> list[np.ndarray]:
-        """The best tags of each chain."""
+    def decode(self, lines: list[list[str]]) -> list[np.ndarray]:
+        """The best tags of each line."""
         self.reset()
         get, number = self.tokens.get, self.number
-        coded = [np.array([number(t) if (k := get(t)) is None else k for t in chain], dtype=np.int64) for chain in chains]
-        order = sorted(range(len(coded)), key=lambda k: len(coded[k]))
-        found: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(coded)
-        for low in range(0, len(order), 1024):
-            part = order[low : low + 1024]
-            for k, tags in zip(part, self._viterbi([coded[k] for k in part])):
-                found[k] = tags
+        coded = [np.array([number(t) if (k := get(t)) is None else k for t in line], dtype=np.int64) for line in lines]
+        found = [np.zeros(len(line), dtype=np.int64) for line in coded]
+        chains = [(k, *place) for k, line in enumerate(coded) for place in _places(len(line))]
+        chains.sort(key=lambda c: c[2] - c[1])
+        for first in range(0, len(chains), 1024):
+            part = chains[first : first + 1024]
+            left = np.array([coded[k][low - 1] if low else -1 for k, low, *_ in part], dtype=np.int64)
+            right = np.array([coded[k][high] if high < len(coded[k]) else -1 for k, _, high, *_ in part], dtype=np.int64)
+            tags = self._viterbi([coded[k][low:high] for k, low, high, *_ in part], left, right)
+            for (k, low, _, begin, end), own in zip(part, tags):
+                found[k][begin:end] = own[begin - low : end - low]
         return found
 
-    def _viterbi(self, coded: list[np.ndarray]) -> Iterator[np.ndarray]:
+    def _viterbi(self, coded: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[np.ndarray]:
+        """``left`` and ``right``: the shapes beside a chain in its line, -1 at the line's ends."""
         lengths, pairs = np.array([len(c) for c in coded]), self.field.pairs
         n, length, k = len(coded), int(lengths.max(initial=0)), len(TAGS)
         if not length:
@@ -254,8 +262,11 @@ class Tagger:
         scores[:, 1:] += first[:, :-1] * mask[:, 1:, None]
         first[mask] = after
         scores[:, :-1] += first[:, 1:] * mask[:, 1:, None]
+        scores[left >= 0, 0] += self.tables[left[left >= 0], 1]
+        inner = np.flatnonzero(right >= 0)
+        scores[inner, lengths[inner] - 1] += self.tables[right[inner], 2]
         best = scores[:, 0].copy()
-        best[:, 2::2] = -1e4  # no chain begins inside a span
+        best[left < 0, 2::2] = -1e4  # no line begins inside a span
         back = np.empty((length, n, k), dtype=np.int8)
         for t in range(1, length):
             reached = best[:, :, None] + pairs
@@ -275,7 +286,7 @@ class Tagger:
 
 
 def _added(text: str, start: int, tags: np.ndarray, taken: list[Span]) -> Iterator[Span]:
-    """Spans of a decoded chain that meet no span of the base rules. ``start``: where the chain begins."""
+    """Spans of a decoded line that meet no span of the base rules. ``start``: where the line begins."""
     at, places = start, []
     for match in _TOKEN.finditer(text, at):
         if len(places) == len(tags):
@@ -299,18 +310,24 @@ def _added(text: str, start: int, tags: np.ndarray, taken: list[Span]) -> Iterat
             yield kind, begin, end
 
 
-def _chains(text: str) -> Iterator[tuple[int, list[str]]]:
-    """Where each chain begins in the text, and its tokens."""
+def _places(n: int) -> Iterator[tuple[int, int, int, int]]:
+    """Chains of a line of n tokens: where each begins and ends, and the part whose tags it gives."""
+    begin = 0
+    while begin < n:
+        low = max(0, begin - MARGIN)
+        high = min(n, low + CHAIN)
+        end = n if high == n else high - MARGIN
+        yield low, high, begin, end
+        begin = end
+
+
+def _lines(text: str) -> Iterator[tuple[int, list[str]]]:
+    """Where each line begins in the text, and its tokens."""
     at = 0
     for line in text.split("\n"):
         tokens = _TOKEN.findall(line)
-        if len(tokens) <= CHAIN:
-            if tokens:
-                yield at, tokens
-        else:
-            places = [match.start() for match in _TOKEN.finditer(line)]
-            for low in range(0, len(tokens), CHAIN):
-                yield at + places[low], tokens[low : low + CHAIN]
+        if tokens:
+            yield at, tokens
         at += len(line) + 1
 
 
@@ -319,13 +336,13 @@ _TAGGERS: dict[str, Tagger] = {}
 
 def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and all spans of each text, by kind as listed and then by start."""
-    cut = [list(_chains(text)) for text in texts]
-    tags = iter(tagger.decode([tokens for chains in cut for _, tokens in chains]))
+    cut = [list(_lines(text)) for text in texts]
+    tags = iter(tagger.decode([tokens for lines in cut for _, tokens in lines]))
     found = []
-    for text, chains in zip(texts, cut):
+    for text, lines in zip(texts, cut):
         base = base_spans(text)
         more = []
-        for start, _ in chains:
+        for start, _ in lines:
             own = next(tags)
             if own.any():
                 more.extend(_added(text, start, own, base))
