@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from txrisk.llm import near_copies, pii_crf, toxicity
+from txrisk.llm import chaining, near_copies, pii_crf, toxicity
 from txrisk.llm.common import ship_package
 
 
@@ -97,3 +97,14 @@ def test_spans_across_the_cuts_of_a_long_line(spark):
     finally:
         pii_crf.CHAIN = 192
     assert "@" in pii_crf.shape("x1" * 40 + "@" + "site.example")
+
+
+def test_passage_of_frequent_phrases_is_found(spark):
+    """Each 6 words of a passage of two documents also stand alone in a smaller document of their own."""
+    pick = random.Random(5)
+    passage = words(pick, 60)
+    owners = [words(pick, 40) + passage[k : k + 6] + words(pick, 40) for k in range(0, 55, 1)]
+    texts = owners + [words(pick, 30) + passage + words(pick, 30), words(pick, 50) + passage + words(pick, 10)]
+    rows = chaining.passages(table(spark, [" ".join(t) for t in texts])).collect()
+    assert {(r.rep_id, r.doc_id) for r in rows} == {(55, 56)}
+    assert [(r.rep_start, r.rep_end, r.start, r.end) for r in rows] == [(30, 90, 50, 110)]
