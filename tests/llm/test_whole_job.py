@@ -108,3 +108,26 @@ def test_passage_of_frequent_phrases_is_found(spark):
     rows = chaining.passages(table(spark, [" ".join(t) for t in texts])).collect()
     assert {(r.rep_id, r.doc_id) for r in rows} == {(55, 56)}
     assert [(r.rep_start, r.rep_end, r.start, r.end) for r in rows] == [(30, 90, 50, 110)]
+
+
+def test_fuzzy_passages_are_found_at_every_similarity(spark):
+    """Substitutions at random places and at every fifth word; the pair itself is the brute force."""
+    pick = random.Random(6)
+    texts, wanted = [], []
+    for size in (50, 60, 80, 100):
+        for changed in (0.05, 0.1, 0.15, 0.18):
+            for _ in range(5):
+                passage = words(pick, size)
+                other = list(passage)
+                for at in pick.sample(range(2, size - 2), int(size * changed)):
+                    other[at] = words(pick, 1)[0]
+                wanted.append((len(texts), len(texts) + 1))
+                texts += [words(pick, 40) + passage + words(pick, 40), words(pick, 20) + other + words(pick, 60)]
+    passage = words(pick, 100)
+    wanted.append((len(texts), len(texts) + 1))
+    texts += [passage, [w if k % 5 != 2 else words(pick, 1)[0] for k, w in enumerate(passage)]]
+    rows = chaining.passages(table(spark, [" ".join(t) for t in texts])).collect()
+    found = {(r.rep_id, r.doc_id) for r in rows}
+    assert found <= set(wanted)
+    missed = [pair for pair in wanted if pair not in found]
+    assert not missed, (len(missed), len(wanted))
