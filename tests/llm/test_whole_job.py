@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from txrisk.llm import chaining, near_copies, pii_crf, toxicity
+from txrisk.llm import chaining, cross_entropy, near_copies, pii_crf, toxicity
 from txrisk.llm.common import ship_package
 
 
@@ -131,3 +131,40 @@ def test_fuzzy_passages_are_found_at_every_similarity(spark):
     assert found <= set(wanted)
     missed = [pair for pair in wanted if pair not in found]
     assert not missed, (len(missed), len(wanted))
+
+
+def test_models_count_all_good_text_and_every_symbol(spark):
+    """Losses against counts in plain Python, over more symbols than a fixed table would hold."""
+    pick = random.Random(8)
+    letters = [chr(0x4E00 + k) for k in range(150)] + list("abcdef ")
+    texts = ["".join(pick.choices(letters, k=pick.randint(0, 60))) for _ in range(60)]
+    good = set(range(0, 60, 3))
+    labels = spark.createDataFrame([(k, int(k in good), 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    model = cross_entropy.fit(table(spark, texts), labels)
+    unseen = (60, "zzzz" + texts[1])
+    found = {r.doc_id: r for r in cross_entropy.score_documents(table(spark, [*texts, unseen]), model).collect()}
+    n_symbols = len(set("".join(texts))) + 1
+    for side, chosen in (("background_loss", range(60)), ("target_loss", good)):
+        counts = {}
+        for k in chosen:
+            padded = "\0\0\0" + texts[k]
+            for at in range(3, len(padded)):
+                for order in range(4):
+                    context = padded[at - order : at]
+                    counts[context, padded[at]] = counts.get((context, padded[at]), 0) + 1
+                    counts[context] = counts.get(context, 0) + 1
+
+        def chance(context, last):
+            shorter = chance(context[1:], last) if context else 1 / n_symbols
+            return (counts.get((context, last), 0) + 8 * shorter) / (counts.get(context, 0) + 8)
+
+        for k, text in [*enumerate(texts), unseen]:
+            padded = "\0\0\0" + text
+            losses = [-np.log(chance(padded[at - 3 : at], padded[at])) for at in range(3, len(padded))]
+            assert abs(found[k][side] - (np.mean(losses) if losses else 0)) < 1e-4
+            assert found[k].n_symbols == len(text)
+
+
+def test_all_good_documents_are_in_the_target(spark):
+    labels = spark.range(25_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert cross_entropy.target_ids(labels).count() == 25_000
