@@ -168,3 +168,15 @@ def test_models_count_all_good_text_and_every_symbol(spark):
 def test_all_good_documents_are_in_the_target(spark):
     labels = spark.range(25_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
     assert cross_entropy.target_ids(labels).count() == 25_000
+
+
+def test_labelled_stretches_are_bounded_and_plain_ones_lie_anywhere(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii_crf, "train", seen.append)
+    long = " ".join(f"10.0.{k // 250}.{k % 250} and" for k in range(3000))
+    plain = [" ".join(f"w{k}" for k in range(j, 200 + j)) for j in range(20)]
+    docs = table(spark, [long, *plain])
+    pii_crf.fit(docs, n_rows=500)
+    assert len(seen[0]) == 500
+    starts = {row.tokens[0] for row in pii_crf.labelled_table(docs.where("doc_id > 0")).collect()}
+    assert len(starts - {f"w{j}" for j in range(20)}) > 10

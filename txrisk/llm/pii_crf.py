@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,8 @@ from txrisk.llm.pii_rules import KINDS, Span, base_spans
 
 #: Documents of the training sample: those of the smallest hash of doc_id.
 SAMPLE_DOCS = 3000
+#: Labelled stretches that the field is trained on: those of the smallest hash of what they hold.
+SAMPLE_ROWS = 20_000
 CHAIN, MARGIN, EPOCHS, STEP, RIDGE = 192, 32, 60, 0.2, 1e-3
 #: Tokens around a labelled one that enter the training table.
 CONTEXT = 8
@@ -97,7 +100,7 @@ def variants(tokens: list[str], tags: list[int]) -> Iterator[tuple[list[str], li
 
 def labelled_table(docs: DataFrame, n_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(tokens, tags): stretches around the tokens that the base rules mark, and one plain
-    stretch of each sample document. Only n_docs ids are broadcast."""
+    stretch, at a place set by a hash of the text, of each sample document without them. Only n_docs ids are broadcast."""
     chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs)
     texts = docs.select("doc_id", whole_text().alias("text"))
     rows = texts.join(F.broadcast(chosen.withColumnRenamed("doc_id", "id")), F.col("doc_id") == F.col("id"))
@@ -114,7 +117,8 @@ def labelled_table(docs: DataFrame, n_docs: int = SAMPLE_DOCS) -> DataFrame:
                     part = slice(max(0, k - CONTEXT), k + CONTEXT)
                     found.extend(variants(tokens[part], tags[part]))
                 if not begins and tokens:
-                    found.append((tokens[: 2 * CONTEXT], tags[: 2 * CONTEXT]))
+                    start = zlib.crc32(text.encode(errors="replace")) % max(1, len(tokens) - 2 * CONTEXT + 1)
+                    found.append((tokens[start : start + 2 * CONTEXT], tags[start : start + 2 * CONTEXT]))
             columns = [
                 pa.array([tokens for tokens, _ in found], pa.list_(pa.string())),
                 pa.array([tags for _, tags in found], pa.list_(pa.int32())),
@@ -377,7 +381,9 @@ def find_personal_data(docs: DataFrame, field: Field | None) -> DataFrame:
     return rows.mapInArrow(find, f"doc_id long, base {kind}, spans {kind}")
 
 
-def fit(docs: DataFrame, n_docs: int = SAMPLE_DOCS) -> Field | None:
-    """A field trained on the labelled table of the sample; None if no token is labelled."""
-    table = [(row.tokens, row.tags) for row in labelled_table(docs, n_docs).orderBy("tokens", "tags").collect()]
+def fit(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_rows: int = SAMPLE_ROWS) -> Field | None:
+    """A field trained on the labelled table of the sample, n_rows of it; None if no token is labelled."""
+    order = (F.xxhash64("tokens", "tags"), "tokens", "tags")
+    rows = labelled_table(docs, n_docs).orderBy(*order).limit(n_rows).collect()
+    table = sorted((row.tokens, row.tags) for row in rows)
     return train(table) if any(tag for _, tags in table for tag in tags) else None
