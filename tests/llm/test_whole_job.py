@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from txrisk.llm import chaining, cross_entropy, near_copies, pii_crf, toxicity
+from txrisk.llm import chaining, cross_entropy, curriculum, near_copies, pii_crf, toxicity
 from txrisk.llm.common import ship_package
 
 
@@ -30,7 +30,7 @@ def shingle_set(text):
 
 
 def test_near_copies_with_changed_words_go(spark, folder):
-    """Groups around one text with up to 3 % of words changed, and texts less alike, against all pairs."""
+    """Groups around one text with up to 7 % of words changed, and texts less alike, against all pairs."""
     pick = random.Random(11)
     texts = []
     for size in (60, 200, 700):
@@ -180,3 +180,18 @@ def test_labelled_stretches_are_bounded_and_plain_ones_lie_anywhere(spark, monke
     assert len(seen[0]) == 500
     starts = {row.tokens[0] for row in pii_crf.labelled_table(docs.where("doc_id > 0")).collect()}
     assert len(starts - {f"w{j}" for j in range(20)}) > 10
+
+
+def test_repeated_rows_keep_their_own_copies(spark):
+    """Repeated rows of one doc_id and text, in one source and in several, give the copies that assign computed."""
+    texts = [(k % 5, "a b c d") for k in range(40)] + [(9, "x y"), (None, "q r s"), (None, "q r s")]
+    rows = [(*t, "uvw"[k % 3] if k % 4 else "u") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wanted = {}
+    for r in curriculum.assign(docs, keep=("text",)).collect():
+        key = (r.doc_id, r.text, r.source)
+        wanted[key] = wanted.get(key, 0) + len(r.positions)
+    found = {}
+    for r in curriculum.training_order(docs).collect():
+        found[tuple(r)] = found.get(tuple(r), 0) + 1
+    assert found == {key: n for key, n in wanted.items() if n}
