@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import bpe_codec, chaining, cross_entropy, curriculum, host_rules, pii_crf, pii_rules, simhash, token_files, toxicity
+from txrisk.llm import (
+    bpe_codec,
+    chaining,
+    cross_entropy,
+    curriculum,
+    host_rules,
+    packing,
+    pii_crf,
+    pii_rules,
+    simhash,
+    token_files,
+    toxicity,
+    whitening,
+)
 from txrisk.llm.common import new_path, read_table, ship_package
 from txrisk.llm.digest_index import DigestIndex
 
@@ -199,3 +212,18 @@ def op9_curriculum(spark, sf_dir):
 def op10_digest_index(spark, sf_dir):
     index = DigestIndex(spark, new_path(spark, "digest-index"))
     return index.deduplicate(read_table(spark, sf_dir, "documents"))
+
+
+PACK_END_ID = 0
+
+
+@query("op11_packing")
+def op11_packing(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path(BYTE_TOKENIZER), PACK_END_ID)
+
+
+@query("op13_whitening")
+def op13_whitening(spark, sf_dir):
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
