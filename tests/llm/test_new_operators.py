@@ -2,8 +2,9 @@
 
 import math
 import random
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -11,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from txrisk.llm import contour_eigen, packing, whitening
+from txrisk.llm import contour_eigen, packing, ranked_search, whitening
 from txrisk.llm.common import ship_package
 from txrisk.llm.queries import QUERIES
 
@@ -214,3 +215,94 @@ def test_contour_equals_dense_solver(kind, d):
     diagonal, side = contour_eigen.tridiagonal((matrix + matrix.T) / 2)
     shifts = np.array([-1.0, 0.3, 1.7, 11.0])
     assert contour_eigen.below(diagonal, side, shifts).tolist() == [int((values < s).sum()) for s in shifts]
+
+
+# ranked search
+
+
+def brute_search(documents, items, k=10):
+    """Every document scored for every item, straight from the definition."""
+    terms = [(doc, re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(_LOWER))) for doc, text in documents]
+    terms = [(doc, found) for doc, found in terms if found]
+    n_docs, n_terms = len(terms), sum(len(found) for _, found in terms)
+    df = Counter(term for _, found in terms for term in set(found))
+    rows = []
+    for item, text in items:
+        query = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(_LOWER))
+        scored = []
+        for doc, found in terms:
+            tf, m = Counter(found), 25 + 75 * len(found) * n_docs // n_terms
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[term] + 1))) * (10**9 * tf[term] // (1000 * tf[term] + 8 * m))
+                for term in query
+                if tf[term]
+            )
+            if score:
+                scored.append((-score, doc is None, doc))
+        scored.sort(key=lambda s: (s[0], s[1], s[2] or 0))
+        rows += [(item, rank, doc, -score) for rank, (score, _, doc) in enumerate(scored[:k], 1)]
+    return rows
+
+
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def found_rows(df):
+    return sorted(map(tuple, df.select("item_id", "rank", "doc_id", "score").collect()), key=repr)
+
+
+def items_table(spark, rows):
+    return spark.createDataFrame([(i, t, 1, 2.0) for i, t in rows], "item_id long, text string, rank int, score double")
+
+
+@pytest.mark.parametrize("shard,block,stretch", [(8192, 128, 2048), (37, 4, 10)])
+def test_search_equals_brute_force(spark, monkeypatch, shard, block, stretch):
+    rng = random.Random(shard)
+    words = ["w%d" % int(rng.paretovariate(0.7)) for _ in range(5000)] + ["Äpfel", "中文", "x_y"]
+    documents = [(k, " ".join(rng.choices(words, k=int(rng.paretovariate(0.8)) + 3))) for k in range(400)]
+    documents += [(k + 1000, documents[k][1]) for k in range(60)]  # ties
+    items = [(k, " ".join(rng.choices(words, k=rng.randint(1, 30)))) for k in range(25)]
+    monkeypatch.setattr(ranked_search, "STRETCH", stretch)
+    monkeypatch.setattr(ranked_search, "QUERY_ITEMS", 10)
+    writer, shards = None, []
+    monkeypatch.setattr(ranked_search, "BLOCK", block)
+    for k, (doc, text) in enumerate(rng.sample(documents, len(documents))):
+        if writer is None or len(writer.docs) >= shard:
+            writer = ranked_search.ShardWriter()
+            shards.append(writer)
+        writer.add(doc, text.encode())
+    n_docs, n_terms = sum(len(s.docs) for s in shards), sum(sum(s.lengths) for s in shards)
+    df = Counter(term.decode() for _, text in documents for term in set(ranked_search.terms_of(text.encode())))
+    mine = []
+    tables = [[r for b in s.rows(0) for r in b.to_pylist()] for s in shards]
+    for item, text in items:
+        merged = []
+        for rows in tables:
+            listed = rows[-1]
+            norms = ranked_search.length_norms(np.array(listed["lengths"]), n_docs, n_terms)
+            lists = {r["term"]: ranked_search.PostingList(r, norms, n_docs, n_terms) for r in rows[:-1]}
+            query = Counter(t.decode() for t in ranked_search.terms_of(text.encode()))
+            present = [(lists[t], q * ranked_search.weight(n_docs, df[t])) for t, q in query.items() if t in lists]
+            docs, scores = ranked_search.search_shard(present, len(norms), 10)
+            merged += [(-s, listed["doc_ids"][d]) for d, s in zip(docs.tolist(), scores.tolist())]
+        mine += [(item, rank, doc, -score) for rank, (score, doc) in enumerate(sorted(merged)[:10], 1)]
+    assert sorted(mine) == sorted(brute_search(documents, items))
+    index = ranked_search.build_index(table(spark, documents).repartition(4))
+    assert found_rows(ranked_search.search(index, items_table(spark, items))) == sorted(brute_search(documents, items), key=repr)
+
+
+def test_search_odd_rows(spark, odd_rows):
+    items = [(0, "a b c same row"), (1, None), (2, ""), (3, "--"), (4, "CØDÉ cødé İ w5 W5"), (None, "no id"), (0, "a b c same row"), (5, "nowhere")]
+    docs, asked = table(spark, odd_rows), items_table(spark, items)
+    index = ranked_search.build_index(docs)
+    assert found_rows(ranked_search.search(index, asked)) == sorted(brute_search(odd_rows, items), key=repr)
+    assert ranked_search.search(ranked_search.build_index(docs.where("false")), asked).count() == 0
+    assert ranked_search.search(index, asked.where("false")).count() == 0
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    values = (2.0 ** (rng.random(2000) * 31)).astype(np.int64) - 1
+    packed, ends = ranked_search.pack_numbers(values)
+    assert ranked_search.unpack_numbers(packed).tolist() == values.tolist()
+    assert len(packed) == ends[-1]

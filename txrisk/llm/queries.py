@@ -17,6 +17,7 @@ from txrisk.llm import (
     packing,
     pii_crf,
     pii_rules,
+    ranked_search,
     simhash,
     token_files,
     toxicity,
@@ -223,6 +224,32 @@ def op11_packing(spark, sf_dir):
     return packing.pack_documents(docs, public_tokenizers.path(BYTE_TOKENIZER), PACK_END_ID)
 
 
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query(
+    "op12_ranked_search",
+    f"""WITH w AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents),
+    d AS (SELECT row, doc_id, len(terms)::BIGINT AS n FROM w WHERE len(terms) > 0),
+    s AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+    q AS (SELECT item, item_id, term, count(*) AS q FROM (SELECT row_number() OVER () AS item, item_id,
+      unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+    p AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM w)
+      WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    t AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight
+      FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), s),
+    r AS (SELECT item, item_id, row, doc_id, sum(q * weight * ((1000000000 * tf)
+      // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+      FROM q JOIN t USING (term) JOIN p USING (term) JOIN d USING (row), s GROUP BY ALL)
+    SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+    FROM r WHERE score > 0 QUALIFY rank <= 10""",
+)
+def op12_ranked_search(spark, sf_dir):
+    index = ranked_search.build_index(read_table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, read_table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_whitening")
 def op13_whitening(spark, sf_dir):
     vectors = read_table(spark, sf_dir, "embeddings")
