@@ -22,7 +22,6 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.bpe_codec import PATTERN, Codec, Vocabulary
+from txrisk.llm.bpe_codec import PATTERN, REMEMBERED, Codec, Vocabulary
 from txrisk.llm.common import ids_and_texts, materialize, row_slices, whole_text
 
 WINDOW = 1024
@@ -62,11 +61,12 @@ class RankCodec(Codec):
     """Encoder of a byte-level BPE vocabulary whose merges are in the order of their ids.
 
     Such a vocabulary is a table of ranks, which an ordinary ASCII text goes through at
-    once. Special tokens, other characters and stretches without a word border are left to
-    the exact merges of ``Codec``, and so is every text of a vocabulary in another order.
+    once. A text with special tokens or other characters is cut into words by ``Codec``,
+    and each new word goes through the ranks. Very long stretches of one kind, and all
+    texts of a vocabulary in another order, are left to the exact merges.
     """
 
-    _RUN = re.compile(r"[^\t-\r ]{400}|[\t-\r ]{400}")
+    _RUN = re.compile(r"[^\t-\r ]{50000}|[\t-\r ]{50000}")
 
     def __init__(self, path: str):
         super().__init__(Vocabulary(path))
@@ -77,13 +77,24 @@ class RankCodec(Codec):
             special = set(known.special.values())
             ranks = {token: number for number, token in enumerate(known.token_bytes) if number not in special}
             self.ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.of_word = tiktoken.Encoding("word", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         return [self._packed(text) for text in texts]
 
+    def _learn(self, words: set[str]) -> None:
+        if self.ranked is None:
+            return super()._learn(words)
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        for word in words:
+            if word not in self.words:
+                ids = self.of_word.encode_ordinary(word) if len(word) < 50_000 else self.vocabulary.merge(word.encode())
+                self.words[word] = array("i", ids).tobytes()
+
     def _packed(self, text: str) -> bytes:
         special = self.vocabulary.special_pattern
-        plain = self.ranked is not None and text.isascii() and not self._RUN.search(text)
+        plain = self.ranked is not None and text.isascii() and (len(text) < 50_000 or not self._RUN.search(text))
         if plain and (special is None or not special.search(text)):
             return array("i", self.ranked.encode_ordinary(text)).tobytes()
         return super().encode_packed([text])[0]
@@ -100,23 +111,30 @@ def rank_codec(path: str) -> RankCodec:
     return _CODECS[path]
 
 
-def best_fill(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
-    """(length, how many) of the multiset of the given lengths with the largest sum within ``room``.
+def best_fill(counts: list[int], room: int) -> list[tuple[int, int]]:
+    """(length, how many) of the multiset with the largest sum within ``room``, where
+    ``counts[length]`` pieces of each length are at hand.
 
     Bit s of a bitset says that sum s can be reached with the lengths so far, longest
     first; counts are split into powers of two. The walk back starts at the shortest length
     and takes as few of it as it can.
     """
     mask, reach, steps = (1 << (room + 1)) - 1, 1, []
-    for length in sorted((n for n in counts if n <= room and counts[n]), reverse=True):
+    for length in range(min(room, len(counts) - 1), 0, -1):
+        left = counts[length]
+        if not left:
+            continue
         steps.append((length, reach))
-        left, part = min(counts[length], room // length), 1
-        while left:
-            part = min(part, left)
-            reach |= reach << (length * part) & mask
-            left -= part
-            part *= 2
-        if reach >> room & 1:
+        if left == 1 or 2 * length > room:
+            reach |= reach << length & mask
+        else:
+            left, part = min(left, room // length), 1
+            while left:
+                part = min(part, left)
+                reach |= reach << (length * part) & mask
+                left -= part
+                part *= 2
+        if reach >> room:
             break
     total, taken = reach.bit_length() - 1, []
     for length, before in reversed(steps):
@@ -138,8 +156,8 @@ class Packer:
 
     def __init__(self, first_sequence: int, window: int = WINDOW):
         self.window, self.sequence = window, first_sequence
-        self.pieces: dict[int, list[tuple]] = defaultdict(list)
-        self.held = 0
+        self.pieces: list[list[tuple]] = [[] for _ in range(window)]
+        self.counts, self.held = [0] * window, 0
         self.rows: list[tuple] = []
 
     def _emit(self, sequence: int | None, offset: int, piece: tuple, keep: bool = False) -> None:
@@ -160,31 +178,41 @@ class Packer:
     def _hold(self, piece: tuple) -> None:
         length = len(piece[2]) // 4
         self.pieces[length].append(piece)
+        self.counts[length] += 1
         self.held += length
 
     def _take(self, length: int) -> tuple:
-        some = self.pieces[length]
-        piece = some.pop()
-        if not some:
-            del self.pieces[length]
+        self.counts[length] -= 1
         self.held -= length
-        return piece
+        return self.pieces[length].pop()
+
+    def _longest(self, most: int) -> int:
+        """The greatest length at hand; none is greater than ``most``."""
+        while not self.counts[most]:
+            most -= 1
+        return most
 
     def pack(self, until: int) -> None:
         """Fill windows while the pieces hold at least ``until`` ids and a whole window."""
+        longest = self.window - 1
         while self.held >= max(until, self.window):
-            longest = max(self.pieces)
-            chosen = [self._take(longest)]
-            counts = {length: len(some) for length, some in self.pieces.items()}
-            for length, used in best_fill(counts, self.window - longest):
+            longest = self._longest(longest)
+            chosen, room = [self._take(longest)], self.window - longest
+            for length, used in best_fill(self.counts, room):
                 chosen.extend(self._take(length) for _ in range(used))
-            slack = self.window - sum(len(piece[2]) for piece in chosen) // 4
-            if slack:  # every piece left is longer than the slack
-                doc, start, ids, tokens = self._take(max(self.pieces))
-                chosen.append((doc, start, ids[: 4 * slack], tokens))
-                self._hold((doc, start + slack, ids[4 * slack :], tokens))
+                room -= length * used
+            if room:  # every piece left is longer than what is missing
+                doc, start, ids, tokens = self._take(self._longest(longest))
+                chosen.append((doc, start, ids[: 4 * room], tokens))
+                self._hold((doc, start + room, ids[4 * room :], tokens))
             self._place(chosen)
 
+    def rest(self) -> list[tuple]:
+        """The pieces at hand, longest first; none is left."""
+        found = [piece for some in reversed(self.pieces) for piece in some]
+        self.pieces, self.counts, self.held = [[] for _ in range(self.window)], [0] * self.window, 0
+        return found
+
     def _place(self, chosen: list[tuple]) -> None:
         offset = 0
         for piece in chosen:
@@ -194,11 +222,8 @@ class Packer:
 
     def close(self) -> None:
         """The pieces of the last window leave without a sequence, with their ids."""
-        for length in sorted(self.pieces, reverse=True):
-            for piece in self.pieces[length]:
-                self._emit(None, 0, piece, keep=True)
-        self.pieces.clear()
-        self.held = 0
+        for piece in self.rest():
+            self._emit(None, 0, piece, keep=True)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.rows:
@@ -241,7 +266,7 @@ def pack_last_windows(pieces: DataFrame, tasks: int, window: int = WINDOW) -> Da
                 packer.pack(LOW)
             yield from packer.flush()
         packer.pack(0)
-        last = [piece for length in sorted(packer.pieces, reverse=True) for piece in packer.pieces[length]]
+        last = packer.rest()
         if last:
             packer._place(last)
         yield from packer.flush()
