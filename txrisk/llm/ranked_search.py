@@ -39,6 +39,8 @@ from txrisk.llm.common import materialize, row_slices, whole_text
 
 #: Postings of a block, documents and postings of a shard, documents searched at a time.
 BLOCK, SHARD_DOCS, SHARD_POSTINGS, STRETCH = 128, 8192, 2_000_000, 2048
+#: Tasks that search the shards, at most.
+TASKS = 20_000
 #: Items and terms of a block of queries.
 QUERY_ITEMS, QUERY_TERMS = 256, 50_000
 
@@ -304,7 +306,9 @@ def _query_blocks(items: DataFrame, key: str) -> Iterator[list[tuple[int, object
         yield block
 
 
-def _search_block(index: DataFrame, block: list, n_docs: int, n_terms: int, k: int, item_kind: str) -> DataFrame:
+def _search_block(
+    index: DataFrame, block: list, n_shards: int, n_docs: int, n_terms: int, k: int, item_kind: str
+) -> DataFrame:
     spark = index.sparkSession
     terms = sorted({term for _, _, counted in block for term in counted})
     # bounded: QUERY_TERMS terms, or those of a single item
@@ -335,7 +339,8 @@ def _search_block(index: DataFrame, block: list, n_docs: int, n_terms: int, k: i
                 found.extend((number, position, listed["doc_ids"][d], s) for d, s in zip(docs.tolist(), scores.tolist()))
         return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*found), fields)], schema=schema) if found else schema.empty_table()
 
-    by_shard = rows.groupBy("shard").applyInArrow(run, "number long, position int, doc_id long, score long")
+    # a shard is little data and much work, so small shuffle blocks are not put together
+    by_shard = rows.repartition(min(n_shards, TASKS), "shard").groupBy("shard").applyInArrow(run, "number long, position int, doc_id long, score long")
     best = Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = by_shard.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     names = spark.createDataFrame([(number, item) for number, item, _ in queries], f"number long, item_id {item_kind}")
@@ -348,9 +353,9 @@ def search(index: DataFrame, items: DataFrame, k: int = 10, key: str = "item_id"
     spark, kind = index.sparkSession, items.schema[key].dataType.simpleString()
     listed = index.where("term = ''")
     summed = F.aggregate("lengths", F.lit(0).cast("long"), lambda total, n: total + n)
-    n_docs, n_terms = listed.agg(F.sum("n"), F.sum(summed)).first()
+    n_shards, n_docs, n_terms = listed.agg(F.count("n"), F.sum("n"), F.sum(summed)).first()
     found = spark.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
     if n_docs:
         for block in _query_blocks(items, key):
-            found = found.union(materialize(_search_block(index, block, n_docs, n_terms, k, kind), "ranking"))
+            found = found.union(materialize(_search_block(index, block, n_shards, n_docs, n_terms, k, kind), "ranking"))
     return found
