@@ -28,7 +28,7 @@ from txrisk.sources.prediction_log import days_before, lookback
 METRICS = list(fv.DRIFT_BASELINES)
 SEVERITY_RANK = {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2}
 
-_SUMMED = {
+SUMMED = {
     "flagged": lambda: F.when(F.col("verdict") == "FLAGGED", 1).otherwise(0),
     "ach": lambda: F.when(F.col("payment_format") == "ACH", 1).otherwise(0),
     "wire": lambda: F.when(F.col("payment_format") == "Wire", 1).otherwise(0),
@@ -56,7 +56,7 @@ def summarise(rows: DataFrame, *keys: str | Column, also: tuple[Column, ...] = (
     """Additive sums per key and score, and the aggregates of ``also``."""
     return rows.groupBy(*keys, _score()).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(value()).alias(name) for name, value in _SUMMED.items()],
+        *[F.sum(value()).alias(name) for name, value in SUMMED.items()],
         *also,
     )
 
@@ -123,15 +123,25 @@ def lookback_summary(
     """Summary per lookback. Rows are summed once, in the shortest lookback that
     holds them; the sums, not the rows, are then copied into the longer ones."""
     spans = sorted(lookbacks)
+    sliced = sliced_summary(lookback(log, as_of, spans[-1]), as_of, spans)
+    # Written once: averages, percentiles and status all read it, the log is read once.
+    return materialize(copy_into_longer(sliced, spans), "log-summary")
+
+
+def sliced_summary(rows: DataFrame, as_of: str | datetime, spans: list[int]) -> DataFrame:
+    """Sums by the shortest lookback that holds a row (``slice``) and score."""
     shortest = F
     for days in spans:
         shortest = shortest.when(F.col("ts") >= days_before(as_of, days), days)
-    sliced = summarise(lookback(log, as_of, spans[-1]), shortest.alias("slice"))
+    return summarise(rows, shortest.alias("slice"))
+
+
+def copy_into_longer(sliced: DataFrame, spans: list[int]) -> DataFrame:
+    """Sums per lookback from sums per slice, which count in every longer lookback too."""
     longer = F.filter(F.array(*[F.lit(d) for d in spans]), lambda d: d >= F.col("slice"))
     copied = sliced.withColumn("period_days", F.explode(longer))
-    sums = [F.sum(c).alias(c) for c in ["n", *_SUMMED]]
-    # Written once: averages, percentiles and status all read it, the log is read once.
-    return materialize(copied.groupBy("period_days", "risk_score").agg(*sums), "log-summary")
+    sums = [F.sum(c).alias(c) for c in ["n", *SUMMED]]
+    return copied.groupBy("period_days", "risk_score").agg(*sums)
 
 
 def drift_metrics(
@@ -291,12 +301,15 @@ def drift_status(
 
 def score_histogram(log: DataFrame, as_of: str | datetime, days: int = 30) -> DataFrame:
     """Ten score buckets, also the empty ones, with count and share."""
-    counted = (
-        lookback(log, as_of, days).groupBy(decile(F.col("risk_score")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    )
+    return histogram_of_counts(lookback(log, as_of, days).select("risk_score", F.lit(1).alias("n")))
+
+
+def histogram_of_counts(counts: DataFrame) -> DataFrame:
+    """The same from rows that stand for ``n`` predictions of one score."""
+    counted = counts.groupBy(decile(F.col("risk_score")).alias("bucket")).agg(F.sum("n").alias("n"))
     counted = counted.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
-    buckets = log.sparkSession.range(10).select(F.col("id").cast("int").alias("bucket"))
-    n = F.coalesce("n", F.lit(0))
+    buckets = counts.sparkSession.range(10).select(F.col("id").cast("int").alias("bucket"))
+    n = F.coalesce("n", F.lit(0).cast("long"))
     return buckets.join(F.broadcast(counted), "bucket", "left").select(
         decile_label(F.col("bucket")).alias("bucket"),
         n.alias("n"),
@@ -388,6 +401,10 @@ def rolling_trend(log: DataFrame, days: int = 90) -> DataFrame:
         count_if(F.col("verdict") == "FLAGGED").alias("flagged"),
         F.sum("risk_score").alias("score"),
     )
+    return trend_of_days(daily, days)
+
+
+def trend_of_days(daily: DataFrame, days: int) -> DataFrame:
     # One row per calendar day reaches this window.
     past = (
         Window.partitionBy(F.lit(1))

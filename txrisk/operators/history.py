@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from txrisk import fixed_values as fv
 from txrisk.functions.scalars import count_if, flag
 from txrisk.operators import network
+from txrisk.operators.hot_keys import HotKeys, find_hot_keys, join_spread
 from txrisk.operators.network import DST, SRC
 from txrisk.operators.profiles import LABEL
 from txrisk.session import materialize
@@ -42,54 +43,76 @@ class History:
 def sender_history(edge_table: DataFrame) -> DataFrame:
     """Per sender: distinct receivers, rows, total and mean sent."""
     totals = edge_table.where(F.col(SRC).isNotNull()).groupBy(SRC).agg(
-        F.count(DST).alias("fan_out_degree"),
-        F.sum("n_tx").alias("tx_velocity"),
-        F.sum("amount").alias("sent"),
+        F.count(DST).alias("others"), F.sum("n_tx").alias("n_tx"), F.sum("amount").alias("amount")
     )
-    total = F.round("sent", 2)
+    return sender_view(totals)
+
+
+def sender_view(totals: DataFrame) -> DataFrame:
+    """Sender columns from counterparties, rows and amount per sender."""
+    total, n = F.round("amount", 2), F.col("n_tx")
     return totals.select(
         SRC,
-        "fan_out_degree",
-        "tx_velocity",
+        F.col("others").alias("fan_out_degree"),
+        n.alias("tx_velocity"),
         total.alias("total_sent"),
-        F.round(F.round("sent", 6) / F.col("tx_velocity"), 2).alias("avg_sent"),
-        F.round(total / F.greatest(F.col("tx_velocity"), F.lit(1)), 2).alias("amount_per_tx"),
+        F.round(F.round("amount", 6) / n, 2).alias("avg_sent"),
+        F.round(total / F.greatest(n, F.lit(1)), 2).alias("amount_per_tx"),
     )
 
 
 def receiver_history(edge_table: DataFrame) -> DataFrame:
     """Per receiver: distinct senders, rows, total and mean received."""
     totals = edge_table.where(F.col(DST).isNotNull()).groupBy(DST).agg(
-        F.count(SRC).alias("fan_in_degree"),
-        F.sum("n_tx").alias("n_received"),
-        F.sum("amount").alias("received"),
+        F.count(SRC).alias("others"), F.sum("n_tx").alias("n_tx"), F.sum("amount").alias("amount")
     )
+    return receiver_view(totals)
+
+
+def receiver_view(totals: DataFrame) -> DataFrame:
+    """Receiver columns from counterparties, rows and amount per receiver."""
     return totals.select(
         DST,
-        "fan_in_degree",
-        "n_received",
-        F.round("received", 2).alias("total_received"),
-        F.round(F.round("received", 6) / F.col("n_received"), 2).alias("avg_received"),
+        F.col("others").alias("fan_in_degree"),
+        F.col("n_tx").alias("n_received"),
+        F.round("amount", 2).alias("total_received"),
+        F.round(F.round("amount", 6) / F.col("n_tx"), 2).alias("avg_received"),
     )
 
 
 def bank_history(tx: DataFrame, hubs: int = fv.HUB_BANKS) -> DataFrame:
     """Per sending bank: amounts, positive share in percent, hub flag.
 
-    One aggregate serves the amount score, the risk score and the hub list. The
-    hub list has ``hubs`` rows at most, hence the broadcast.
+    One aggregate serves the amount score, the risk score and the hub list.
     """
-    banks = (
+    sums = (
         tx.where(F.col("from_bank").isNotNull())
         .groupBy("from_bank")
         .agg(
-            F.round(F.avg("amount_paid"), 2).alias("bank_avg_amount"),
-            F.round(F.stddev("amount_paid"), 2).alias("bank_std_amount"),
-            F.count(F.lit(1)).alias("bank_total_tx"),
-            count_if(F.col(LABEL) == 1).alias("bank_laund_tx"),
+            F.avg("amount_paid").alias("mean"),
+            F.stddev("amount_paid").alias("deviation"),
+            F.count(F.lit(1)).alias("n"),
+            count_if(F.col(LABEL) == 1).alias("bad"),
         )
-        .withColumn("bank_risk_score", F.round(F.col("bank_laund_tx") / F.col("bank_total_tx") * 100.0, 6))
     )
+    return with_hubs(bank_view(sums), hubs)
+
+
+def bank_view(sums: DataFrame) -> DataFrame:
+    """Bank columns from the mean and deviation of amounts, rows and positives per bank."""
+    return sums.select(
+        "from_bank",
+        F.round("mean", 2).alias("bank_avg_amount"),
+        F.round("deviation", 2).alias("bank_std_amount"),
+        F.col("n").alias("bank_total_tx"),
+        F.col("bad").alias("bank_laund_tx"),
+        F.round(F.col("bad") / F.col("n") * 100.0, 6).alias("bank_risk_score"),
+    )
+
+
+def with_hubs(banks: DataFrame, hubs: int) -> DataFrame:
+    """Marks the banks with the most positives. The list of them has ``hubs`` rows at
+    most, hence the broadcast."""
     banks = materialize(banks, "bank-sums")
     top = (
         banks.where(F.col("bank_laund_tx") > 0)
@@ -105,9 +128,9 @@ def cycle_history(edge_table: DataFrame, include_self_loops: bool = True) -> Dat
 
 
 @contextmanager
-def _job_pool(df: DataFrame):
+def job_pool(df: DataFrame):
     """Run independent Spark jobs side by side; the cluster shares its slots."""
-    with ThreadPoolExecutor(max_workers=len(PARTS)) as pool:
+    with ThreadPoolExecutor(max_workers=len(PARTS) + 1) as pool:
         yield lambda work: pool.submit(inheritable_thread_target(df.sparkSession)(work))
 
 
@@ -125,7 +148,7 @@ def fit_history(
     account_parts = [p for p in parts if p != "bank"]
     shared = len(account_parts) > 1
 
-    with _job_pool(tx) as submit:
+    with job_pool(tx) as submit:
         bank = submit(lambda: materialize(bank_history(tx, hubs), "bank")) if "bank" in parts else None
         edge_table = network.edges(tx)
         if shared:
@@ -150,20 +173,30 @@ _COLUMNS = {
 }
 
 
-def attach_history(rows: DataFrame, history: History) -> DataFrame:
+def attach_history(rows: DataFrame, history: History, hot: HotKeys | None = None) -> DataFrame:
     """Left-join every fitted part to the rows, the same way at every size.
 
     The parts are stored tables of known size, so Catalyst broadcasts those under its
     threshold and the rows do not move. Others are shuffled with the rows; adaptive
     execution then splits the partitions of frequent keys, those of unknown accounts
-    included, by the bytes that the joined rows really have. A stream's joins are not
-    split so.
+    included, by the bytes that the joined rows really have.
+
+    With ``hot`` (from ``hot_keys.find_hot_keys`` over the rows, or over the latest rows of
+    a stream) frequent keys are split explicitly, which also holds where adaptive
+    execution does not act.
     """
+    spread_by = rows.columns
     for part, table in history.parts().items():
-        rows = rows.join(table.select(*_KEYS[part], *_COLUMNS[part]), _KEYS[part], "left")
+        keys, wanted = _KEYS[part], table.select(*_KEYS[part], *_COLUMNS[part])
+        rows = rows.join(wanted, keys, "left") if hot is None else join_spread(rows, wanted, keys, hot, spread_by)
     return rows
 
 
+def hot_keys_of(rows: DataFrame, parts: tuple[str, ...] = PARTS, **options) -> HotKeys:
+    """Frequent keys of the rows that will be joined with the given parts."""
+    return find_hot_keys(rows, sorted({key for part in parts for key in _KEYS[part]}), **options)
+
+
 def amount_zscore():
     """Distance of the amount to the bank mean in deviations; a missing or zero
     deviation counts as one."""

@@ -26,6 +26,7 @@ def load() -> None:
     """Import every module that registers queries."""
     from txrisk.plans import (  # noqa: F401
         catalog_features,
+        catalog_history,
         catalog_learning,
         catalog_monitoring,
         catalog_profiles,

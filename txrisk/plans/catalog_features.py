@@ -351,6 +351,49 @@ def undersample(spark, folder):
     return splitting.undersample(payments(spark, folder), columns=_TEXT_KEYS).select(*_KEYS)
 
 
+def _quota_sql(salt: str, quota: str, source: str = "tx") -> str:
+    """Rows with ``place``, their position in the hash order of their class, and the class quota."""
+    return f"""(SELECT *, row_number() OVER (PARTITION BY is_laundering ORDER BY {_bucket_sql(salt, 1 << 32)}, {_KEY_SQL})
+      <= {quota} AS taken FROM (SELECT *, count(*) OVER (PARTITION BY is_laundering) AS n,
+        sum(is_laundering) OVER () AS positives FROM {source}))"""
+
+
+_SHARE = "floor(n * 8e-1 + 5e-1)"
+
+
+@query(
+    "split_exact",
+    f"""{BASE} SELECT {_KEY_SQL}, CASE WHEN taken THEN 'train' ELSE 'test' END AS split
+    FROM {_quota_sql('split-42', _SHARE)}""",
+)
+def split_exact(spark, folder):
+    return splitting.split_exact(payments(spark, folder).select(*_KEYS), columns=_TEXT_KEYS)
+
+
+@query(
+    "split_exact_summary",
+    f"""{BASE}, s AS (SELECT *, CASE WHEN taken THEN 'train' ELSE 'test' END AS split FROM {_quota_sql('split-42', _SHARE)}),
+    v AS (SELECT CASE WHEN taken THEN 'fit' ELSE 'validation' END AS split, is_laundering
+      FROM {_quota_sql('validation-42', _SHARE, "(SELECT * EXCLUDE (taken, n, positives) FROM s WHERE split = 'train')")})
+    SELECT split, count(*) AS n, sum(is_laundering)::BIGINT AS positives,
+      round(sum(is_laundering)::DOUBLE / count(*)::DOUBLE * 100e0, 3) AS positive_pct
+    FROM (SELECT split, is_laundering FROM s UNION ALL SELECT * FROM v) GROUP BY 1""",
+)
+def split_exact_summary(spark, folder):
+    """Both cuts to the row: train and test, and the training rows once more."""
+    parts = materialize(splitting.split_exact(payments(spark, folder).select(*_KEYS), columns=_TEXT_KEYS), "exact-split")
+    train = parts.where("split = 'train'").drop("split")
+    second = splitting.split_exact(
+        train, salt=splitting.VALIDATION_SALT, columns=_TEXT_KEYS, names=("fit", "validation")
+    )
+    return splitting.split_summary(parts.unionByName(second))
+
+
+@query("undersample_exact", f"{BASE} SELECT {_KEY_SQL} FROM {_quota_sql('sample-42', 'CASE WHEN is_laundering = 1 THEN n ELSE positives * 3 END')} WHERE taken")
+def undersample_exact(spark, folder):
+    return splitting.undersample_exact(payments(spark, folder).select(*_KEYS), 3.0, columns=_TEXT_KEYS)
+
+
 @query(
     "class_weight",
     f"""{BASE} SELECT sum(is_laundering)::BIGINT AS positives, sum(1 - is_laundering)::BIGINT AS negatives,

@@ -8,6 +8,7 @@ from txrisk.plans.catalog import query
 from txrisk.plans.oracle import AS_OF, BASE, DRIFT, half_up, mean4
 from txrisk.plans.scoring import prediction_log
 from txrisk.session import new_path
+from txrisk.sources.log_store import LogStore
 from txrisk.sources.prediction_log import append_predictions, as_of_literal, read_log, recent_rows
 from txrisk.sources.warehouse import payments
 
@@ -155,3 +156,75 @@ def score_shift(spark, folder):
 )
 def rolling_trend(spark, folder):
     return drift.rolling_trend(_log(spark, folder), 90)
+
+
+# --- from the kept summary ---------------------------------------------------
+
+
+def _kept(spark, folder):
+    """The log in three batches, the second sent twice; nothing below reads its rows again."""
+    log, store = _log(spark, folder), LogStore(spark, new_path(spark, "log-store"))
+    batches = [("early", "ts < TIMESTAMP_NTZ '1996-01-01'"), ("middle", "ts < TIMESTAMP_NTZ '2001-07-20'"), ("late", None)]
+    done = F.lit(False)
+    for name, until in batches:
+        mine = ~done if until is None else F.expr(until) & ~done
+        done = done if until is None else F.expr(until)
+        store.append(name, log.where(mine))
+    store.append("middle", log)
+    return store
+
+
+@query("kept_drift_metrics", f"{BASE} SELECT period_days, n_transactions, {_METRICS} FROM metrics")
+def kept_drift_metrics(spark, folder):
+    return _kept(spark, folder).drift_metrics(AS_OF)
+
+
+@query("kept_drift_alerts", f"{DRIFT} SELECT * FROM alerts")
+def kept_drift_alerts(spark, folder):
+    return drift.order_alerts(drift.drift_alerts(_kept(spark, folder).drift_metrics(AS_OF), ["period_days"]))
+
+
+@query("kept_drift_status", f"{DRIFT} SELECT period_days, {STATUS_SQL} FROM status")
+def kept_drift_status(spark, folder):
+    return drift.drift_status(_kept(spark, folder).drift_metrics(AS_OF), ["period_days"])
+
+
+_MOMENT = "2001-08-01 09:30:00"
+
+
+@query(
+    "kept_drift_at_a_moment",
+    f"{BASE} SELECT period_days, n_transactions, {_METRICS} FROM metrics".replace(AS_OF, _MOMENT),
+)
+def kept_drift_at_a_moment(spark, folder):
+    """Lookbacks that cut days in two: these days from rows, all others from the summary."""
+    return _kept(spark, folder).drift_metrics(_MOMENT)
+
+
+@query(
+    "kept_score_histogram",
+    f"""{BASE}, h AS (SELECT least(floor(risk_score * 10e0), 9)::INTEGER AS b, count(*) AS n FROM recent
+      WHERE period_days = 30 GROUP BY 1)
+    SELECT (i * 10)::VARCHAR || '-' || ((i + 1) * 10)::VARCHAR || '%' AS bucket, coalesce(n, 0)::BIGINT AS n,
+    round(coalesce(n, 0)::DOUBLE / (SELECT sum(n) FROM h)::DOUBLE * 100e0, 1) AS pct
+    FROM range(10) t(i) LEFT JOIN h ON b = i""",
+)
+def kept_score_histogram(spark, folder):
+    return _kept(spark, folder).score_histogram(AS_OF, 30)
+
+
+@query("kept_log_lookback", f"{BASE} SELECT {', '.join(schemas.LOOKBACK_COLUMNS)} FROM recent WHERE period_days = 30")
+def kept_log_lookback(spark, folder):
+    return _kept(spark, folder).recent(AS_OF, 30).select(*schemas.LOOKBACK_COLUMNS)
+
+
+@query(
+    "kept_trend",
+    f"""{BASE}, day AS (SELECT ts::DATE AS day, count(*) AS n, count(*) FILTER (verdict = 'FLAGGED') AS f,
+      sum(risk_score) AS s FROM log GROUP BY 1)
+    SELECT day, (sum(n) OVER w)::BIGINT AS n, round(sum(f) OVER w / (sum(n) OVER w)::DOUBLE, 6) AS flag_rate,
+    {half_up('round(sum(s) OVER w, 6) / (sum(n) OVER w)::DOUBLE', 4)} AS avg_score FROM day
+    WINDOW w AS (ORDER BY day RANGE BETWEEN INTERVAL 89 DAY PRECEDING AND CURRENT ROW)""",
+)
+def kept_trend(spark, folder):
+    return _kept(spark, folder).trend(90)

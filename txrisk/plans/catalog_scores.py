@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from txrisk import fixed_values as fv
+from txrisk.functions.linear import feature_means, with_linear_contributions
 from txrisk.functions.scorecard import contribution_total, scorecard_terms
-from txrisk.operators import cases, evaluation
+from txrisk.operators import cases, evaluation, quantiles
 from txrisk.operators.cleaning import select_existing
 from txrisk.plans.catalog import query
 from txrisk.plans.oracle import BASE, mean4
@@ -235,3 +236,43 @@ lc AS (SELECT *, sum(pos) OVER (ORDER BY v DESC) AS tp, sum(neg) OVER (ORDER BY
 def leakage_single_feature(spark, folder):
     scored = _scored(spark, folder, ("sender", "bank"))
     return evaluation.single_feature_leakage(scored, "bank_risk_score")
+
+
+# --- unrounded values and linear attribution ---------------------------------
+_SHARES = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+
+
+@query(
+    "raw_quantiles",
+    f"""{BASE}, v AS (SELECT amount_usd / (1 + fan_out_degree) AS v FROM scored),
+    r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS place, count(*) OVER () AS n FROM v)
+    SELECT {', '.join(f"min(v) FILTER (place = least(floor(n * {share!r}::DOUBLE), n - 1)) AS {name}" for name, share in _SHARES.items())},
+      count(*) AS n FROM r""",
+)
+def raw_quantiles(spark, folder):
+    """Exact quantiles of unrounded values, nearly all of them different."""
+    value = F.col("amount_usd") / (1 + F.col("fan_out_degree"))
+    return quantiles.exact_quantiles(_scored(spark, folder).select(value.alias("v")), "v", _SHARES)
+
+
+_LINEAR = {"payment_format_risk": 0.16, "is_cross_border": 0.03, "currency_risk_score": 0.02, "is_near_threshold": 0.01}
+
+
+@query(
+    "linear_attribution",
+    f"""{BASE}, m AS (SELECT {', '.join(f"avg({f}::DOUBLE) AS {f}" for f in _LINEAR)} FROM rowf),
+    c AS (SELECT is_laundering, {', '.join(f"{w!r}::DOUBLE * (r.{f} - m.{f}) AS {f}" for f, w in _LINEAR.items())},
+      {' + '.join(f"{w!r}::DOUBLE * r.{f}" for f, w in _LINEAR.items())} AS score,
+      {' + '.join(f"{w!r}::DOUBLE * m.{f}" for f, w in _LINEAR.items())} AS expected FROM rowf r, m)
+    SELECT is_laundering, {', '.join(f"round(avg({f}), 6) + 0e0 AS {f}" for f in _LINEAR)},
+      round(max(abs(score - expected - ({' + '.join(_LINEAR)}))), 6) AS worst_gap FROM c GROUP BY 1""",
+)
+def linear_attribution(spark, folder):
+    """Mean contribution per class of the linear part of the score; contributions add up to the score."""
+    rows = _scored(spark, folder)
+    means = feature_means(rows, list(_LINEAR)).first().asDict()
+    known = with_linear_contributions(rows, _LINEAR, means)
+    score = sum((F.lit(w) * F.col(f) for f, w in _LINEAR.items()), F.lit(0.0))
+    total = sum((F.col(f"contributions.{f}") for f in _LINEAR), F.col("expected"))
+    averages = [(F.round(F.avg(f"contributions.{f}"), 6) + F.lit(0.0)).alias(f) for f in _LINEAR]
+    return known.groupBy("is_laundering").agg(*averages, F.round(F.max(F.abs(score - total)), 6).alias("worst_gap"))

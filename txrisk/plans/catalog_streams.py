@@ -2,14 +2,17 @@
 
 from pyspark.sql import types as T
 
-from txrisk.operators import drift
+from txrisk.operators import drift, sessions
 from txrisk.operators.history import fit_history
+from txrisk.operators.history_store import HistoryStore
 from txrisk.plans.catalog import query
+from txrisk.plans.catalog_history import STRETCH_SQL, stretch_of
 from txrisk.plans.catalog_monitoring import STATUS_SQL
 from txrisk.plans.oracle import BASE, drift_ctes, mean4
 from txrisk.session import materialize, new_path
 from txrisk.sources.warehouse import payment_stream, payments
 from txrisk.streaming import monitoring
+from txrisk.streaming.growing import score_and_grow
 from txrisk.streaming.scoring import log_stream, score_stream, start_file_sink, start_update_sink
 
 _METRICS = ", ".join(drift.METRICS)
@@ -115,3 +118,75 @@ def stream_drift_status(spark, folder):
     """Alerts of every window, drawn together to its status and advice."""
     metrics = materialize(_window_metrics(spark, folder), "window-metrics")
     return drift.drift_status(metrics, _KEYS)
+
+
+# --- state that grows with the stream ----------------------------------------
+_STRETCHES = 4
+
+
+def _arriving(spark, folder, n=_STRETCHES):
+    """The payments as a stream of n files in the order of time, one per micro-batch."""
+    path = new_path(spark, "arriving")
+    cut = materialize(stretch_of(payments(spark, folder), n), "stretches")
+    rows = cut.drop("stretch")
+    for k in range(n):
+        cut.where(f"stretch = {k}").drop("stretch").coalesce(1).write.mode("append").parquet(path)
+    return _stream_session(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+_GROWN = ["fan_out_degree", "fan_in_degree", "tx_velocity", "is_in_cycle", "bank_risk_score"]
+
+
+@query(
+    "stream_growing_history",
+    f"""{BASE}, st AS (SELECT *, {STRETCH_SQL.format(n=_STRETCHES)} AS k FROM tx),
+    ks AS (SELECT DISTINCT k FROM st),
+    s AS (SELECT ks.k, from_account, count(DISTINCT to_account) AS fo, count(*) AS v FROM ks JOIN st ON st.k < ks.k GROUP BY 1, 2),
+    r AS (SELECT ks.k, to_account, count(DISTINCT from_account) AS fi FROM ks JOIN st ON st.k < ks.k GROUP BY 1, 2),
+    b AS (SELECT ks.k, from_bank, round(sum(is_laundering)::DOUBLE / count(*) * 100e0, 6) AS risk
+      FROM ks JOIN st ON st.k < ks.k GROUP BY 1, 2),
+    e AS (SELECT DISTINCT ks.k, from_account, to_account FROM ks JOIN st ON st.k < ks.k),
+    c AS (SELECT x.k, x.from_account, x.to_account FROM e x JOIN e y
+      ON x.k = y.k AND x.from_account = y.to_account AND x.to_account = y.from_account)
+    SELECT st.ts, st.from_account, st.to_account, st.amount_paid, st.payment_format, coalesce(fo, 0) AS fan_out_degree,
+      coalesce(fi, 0) AS fan_in_degree, coalesce(v, 1) AS tx_velocity,
+      CASE WHEN c.from_account IS NULL THEN 0 ELSE 1 END AS is_in_cycle, coalesce(risk, 0e0) AS bank_risk_score
+    FROM st LEFT JOIN s ON s.k = st.k AND s.from_account = st.from_account
+    LEFT JOIN r ON r.k = st.k AND r.to_account = st.to_account
+    LEFT JOIN b ON b.k = st.k AND b.from_bank = st.from_bank
+    LEFT JOIN c ON c.k = st.k AND c.from_account = st.from_account AND c.to_account = st.to_account""",
+)
+def stream_growing_history(spark, folder):
+    """Each micro-batch sees the history of the earlier ones, and adds its own."""
+    store, sink = HistoryStore(spark, new_path(spark, "history"), 8), new_path(spark, "grown-scores")
+    score_and_grow(_arriving(spark, folder), store, sink, new_path(spark, "grown-checkpoint")).awaitTermination()
+    scored = spark.read.parquet(sink)
+    return scored.select("ts", "from_account", "to_account", "amount_paid", "payment_format", *_GROWN)
+
+
+_SESSIONS = f"""{BASE}, p AS (SELECT *, lag(ts) OVER (PARTITION BY from_account ORDER BY ts) AS before FROM tx),
+    q AS (SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 30 DAY THEN 1 ELSE 0 END)
+      OVER (PARTITION BY from_account ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM p)
+    SELECT from_account, min(ts) AS session_start, max(ts) + INTERVAL 30 DAY AS session_end, count(*) AS n_tx,
+      sum(is_laundering)::BIGINT AS n_laundering, sum(amount_paid::DECIMAL(18,4))::DOUBLE AS amount,
+      CASE WHEN max(ts) + INTERVAL 30 DAY >= (SELECT max(ts) FROM tx) THEN 1 ELSE 0 END AS is_open
+    FROM q GROUP BY from_account, session"""
+
+
+@query("account_sessions", _SESSIONS)
+def account_sessions(spark, folder):
+    return sessions.account_sessions(payments(spark, folder))
+
+
+@query("stream_sessions", _SESSIONS)
+def stream_sessions(spark, folder):
+    """Pieces of sessions stored by each micro-batch, put together over all of them."""
+    sink = new_path(spark, "session-pieces")
+    schema = sessions.session_pieces(payments(spark, folder)).schema
+
+    def store(rows, batch):
+        sessions.session_pieces(rows).write.mode("overwrite").parquet(f"{sink}/batch={batch}")
+
+    stream = _arriving(spark, folder).writeStream.foreachBatch(store).trigger(availableNow=True)
+    stream.option("checkpointLocation", new_path(spark, "pieces-checkpoint")).start().awaitTermination()
+    return sessions.sessions_of_pieces(spark.read.schema(schema).parquet(sink))

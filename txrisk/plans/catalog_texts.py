@@ -9,6 +9,8 @@ from txrisk.operators import cases
 from txrisk.plans.catalog import query
 from txrisk.plans.oracle import BASE, case_of, quoted
 from txrisk.plans.scoring import score_payments
+from txrisk.session import new_path
+from txrisk.sources import writers
 from txrisk.sources.warehouse import payments
 
 _KEYS = ["ts", "from_account", "to_account", "amount_paid", "payment_format", "is_laundering"]
@@ -314,3 +316,24 @@ def feature_titles(spark, folder):
     drivers = cases.with_drivers(_scored(spark, folder)).select(F.explode_outer("drivers").alias("d"))
     names = drivers.select(F.col("d.feature").alias("feature")).distinct()
     return names.withColumn("title", plain_name(F.col("feature")))
+
+
+@query(
+    "text_reports_read_back",
+    f"""{BASE}, {_REPORTS}, {CASE_TABLES} SELECT c.case_type, count(*) AS n,
+    count(*) FILTER (c.is_laundering = 1) AS n_fraud, sum(len(string_split(r.explanation, chr(10))))::BIGINT AS n_lines
+    FROM chosen c JOIN report r USING ({_KEY_SQL}) GROUP BY c.case_type""",
+)
+def text_reports_read_back(spark, folder):
+    """Case reports written as text and counted from the files: headings, labels, lines of explanation."""
+    reports = cases.case_reports(_scored(spark, folder))
+    path = new_path(spark, "case-texts")
+    writers.write_case_report_text(reports, path)
+    blocks = spark.read.option("lineSep", "=" * 65 + "\n").text(path).where(F.col("value").contains("CASE "))
+    heading = F.regexp_extract("value", r"CASE \d+ — (\w+) —", 1)
+    body = F.regexp_extract("value", r"(?s)Explanation:\n(.*)\n\n$", 1)
+    return blocks.groupBy(heading.alias("case_type")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(F.col("value").contains("Actual Label: FRAUD"), 1).otherwise(0)).alias("n_fraud"),
+        F.sum(F.size(F.split(body, "\n"))).alias("n_lines"),
+    )

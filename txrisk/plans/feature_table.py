@@ -17,6 +17,8 @@ from txrisk.operators.history import (
     fit_history,
     high_fan_out,
 )
+from txrisk.operators.hot_keys import HotKeys
+from txrisk.sources.payment_store import PaymentStore
 
 CARRY = [
     "from_account",
@@ -37,9 +39,27 @@ def transform(
     high_fan_out_limit: int = fv.HIGH_FAN_OUT,
     fill: bool = True,
     extra: tuple[str, ...] = (),
+    hot: HotKeys | None = None,
 ) -> DataFrame:
-    """Row features plus fitted history for any table or stream of payments."""
-    joined = attach_history(rf.add_row_features(rows), history)
+    """Row features plus fitted history for any table or stream of payments; keys listed
+    in ``hot`` are split over many tasks."""
+    joined = attach_history(rf.add_row_features(rows), history, hot)
+    return finish(joined, history, high_fan_out_limit, fill, extra)
+
+
+def transform_stored(store: PaymentStore, history: History, **options) -> DataFrame:
+    """The same for stored payments, which stay in their buckets."""
+    return finish(rf.add_row_features(store.with_history(history)), history, **options)
+
+
+def finish(
+    joined: DataFrame,
+    history: History,
+    high_fan_out_limit: int = fv.HIGH_FAN_OUT,
+    fill: bool = True,
+    extra: tuple[str, ...] = (),
+) -> DataFrame:
+    """Derived columns, neutral values and column order, once history is attached."""
     derived: dict[str, Column] = {}
     if history.bank is not None:
         derived["amount_zscore_per_bank"] = amount_zscore()

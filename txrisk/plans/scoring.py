@@ -9,6 +9,7 @@ from txrisk import fixed_values as fv
 from txrisk.functions.scalars import needs_escalation, to_usd
 from txrisk.functions.scorecard import with_score
 from txrisk.operators.history import PARTS, History, fit_history
+from txrisk.operators.hot_keys import HotKeys
 from txrisk.plans.feature_table import transform
 from txrisk.sources.prediction_log import to_log
 
@@ -21,9 +22,10 @@ def score_with(
     history: History,
     threshold: float = fv.SCORECARD_THRESHOLD,
     extra: tuple[str, ...] = (),
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Features and scorecard for a table or stream, with fitted history."""
-    table = transform(rows, history, extra=extra)
+    table = transform(rows, history, extra=extra, hot=hot)
     table = table.withColumn("amount_usd", to_usd(F.col("amount_paid"), F.col("payment_currency")))
     return with_score(table, threshold)
 

@@ -8,7 +8,11 @@ true size when it decides whether a join side may be broadcast.
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from pathlib import Path
+from weakref import WeakSet
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +68,27 @@ def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame
     target = path or new_path(spark, label)
     df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+_SHIPPED: WeakSet = WeakSet()
+
+
+def ship_modules(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once for a Spark context, from the work folder.
+
+    A job started with ``--py-files`` has it already; then this does no harm.
+    """
+    context = spark.sparkContext
+    if context in _SHIPPED:
+        return
+    top, packed = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(top.rglob("*.py")):
+            archive.write(file, file.relative_to(top.parent))
+    target = new_path(spark, "modules") + ".zip"
+    place = spark._jvm.org.apache.hadoop.fs.Path(target)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    context.addPyFile(target)
+    _SHIPPED.add(context)

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from txrisk import fixed_values as fv
 from txrisk.operators.history import History
+from txrisk.operators.hot_keys import HotKeys
 from txrisk.plans.scoring import score_with
 from txrisk.sources.prediction_log import to_log
 
@@ -17,9 +18,14 @@ def score_stream(
     history: History,
     threshold: float = fv.SCORECARD_THRESHOLD,
     extra: tuple[str, ...] = (),
+    hot: HotKeys | None = None,
 ) -> DataFrame:
-    """Row features, stream-static joins with the fitted history, score, verdict."""
-    return score_with(payments, history, threshold, extra)
+    """Row features, stream-static joins with the fitted history, score, verdict.
+
+    Adaptive execution does not act on a stream, so frequent accounts are named in
+    ``hot``: those of the latest stored rows.
+    """
+    return score_with(payments, history, threshold, extra, hot)
 
 
 def log_stream(scored: DataFrame) -> DataFrame:
