@@ -360,9 +360,10 @@ def format_mix(log: DataFrame, as_of: str | datetime, days: int = 7) -> DataFram
 
 def recent_predictions(log: DataFrame, as_of: str | datetime, k: int = 10, days: int = 1) -> DataFrame:
     """Newest rows of the last day with the number of rows in that day."""
-    recent = lookback(log, as_of, days)
-    total = recent.agg(F.count(F.lit(1)).alias("n")).scalar()
     shown = ["ts", "payment_format", "currency", "amount_usd", "verdict", "risk_score", "from_bank", "to_bank"]
+    # Stored, so that the log is read once for the rows and their number.
+    recent = materialize(lookback(log, as_of, days).select(*shown), "recent-predictions")
+    total = recent.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (
         recent.orderBy(F.col("ts").desc(), *[c for c in shown if c != "ts"])
         .limit(k)

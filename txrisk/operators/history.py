@@ -24,6 +24,8 @@ from txrisk.operators.profiles import LABEL
 from txrisk.session import materialize
 
 PARTS = ("sender", "receiver", "bank", "cycle")
+#: Sums of money and of squares; amounts keep four digits after the point.
+MONEY, SQUARES = "decimal(38,4)", "decimal(38,2)"
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,38 @@ class History:
         return {name: table for name, table in found.items() if table is not None}
 
 
+def batch_sums(tx: DataFrame) -> DataFrame:
+    """Sums by (sender, receiver, bank): all that history needs, in one pass.
+
+    Money is summed in decimals, so totals do not depend on the order of tasks.
+    """
+    amount = F.col("amount_paid").cast("decimal(28,4)")
+    square = (F.col("amount_paid").cast("double") * F.col("amount_paid").cast("double")).cast(SQUARES)
+    return tx.groupBy(SRC, DST, "from_bank").agg(
+        F.count(F.lit(1)).alias("n_tx"),
+        count_if(F.col(LABEL) == 1).alias("n_laundering"),
+        F.sum(amount).cast(MONEY).alias("amount"),
+        F.sum(square).cast(SQUARES).alias("squares"),
+    )
+
+
+def edges_of(sums: DataFrame) -> DataFrame:
+    """The edge table from ``batch_sums``."""
+    return sums.groupBy(SRC, DST).agg(
+        F.sum("n_laundering").alias("n_laundering"), F.sum("n_tx").alias("n_tx"), F.sum("amount").cast(MONEY).alias("amount")
+    )
+
+
+def bank_sums(sums: DataFrame) -> DataFrame:
+    """Mean and deviation of amounts, rows and positives per bank, from additive sums."""
+    n, total = F.sum("n_tx"), F.sum("amount").cast("double")
+    spread = (F.sum("squares").cast("double") - total * total / n) / (n - 1)
+    deviation = F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0))))
+    return sums.where(F.col("from_bank").isNotNull()).groupBy("from_bank").agg(
+        (total / n).alias("mean"), deviation.alias("deviation"), n.alias("n"), F.sum("n_laundering").alias("bad")
+    )
+
+
 def sender_history(edge_table: DataFrame) -> DataFrame:
     """Per sender: distinct receivers, rows, total and mean sent."""
     totals = edge_table.where(F.col(SRC).isNotNull()).groupBy(SRC).agg(
@@ -50,13 +84,14 @@ def sender_history(edge_table: DataFrame) -> DataFrame:
 
 def sender_view(totals: DataFrame) -> DataFrame:
     """Sender columns from counterparties, rows and amount per sender."""
-    total, n = F.round("amount", 2), F.col("n_tx")
+    amount = F.col("amount").cast("double")
+    total, n = F.round(amount, 2), F.col("n_tx")
     return totals.select(
         SRC,
         F.col("others").alias("fan_out_degree"),
         n.alias("tx_velocity"),
         total.alias("total_sent"),
-        F.round(F.round("amount", 6) / n, 2).alias("avg_sent"),
+        F.round(F.round(amount, 6) / n, 2).alias("avg_sent"),
         F.round(total / F.greatest(n, F.lit(1)), 2).alias("amount_per_tx"),
     )
 
@@ -71,12 +106,13 @@ def receiver_history(edge_table: DataFrame) -> DataFrame:
 
 def receiver_view(totals: DataFrame) -> DataFrame:
     """Receiver columns from counterparties, rows and amount per receiver."""
+    amount = F.col("amount").cast("double")
     return totals.select(
         DST,
         F.col("others").alias("fan_in_degree"),
         F.col("n_tx").alias("n_received"),
-        F.round("amount", 2).alias("total_received"),
-        F.round(F.round("amount", 6) / F.col("n_tx"), 2).alias("avg_received"),
+        F.round(amount, 2).alias("total_received"),
+        F.round(F.round(amount, 6) / F.col("n_tx"), 2).alias("avg_received"),
     )
 
 
@@ -142,25 +178,27 @@ def fit_history(
 ) -> History:
     """Compute and store the history tables.
 
-    Two passes over the payments at most: one for the edges, which all account
-    and cycle tables share, and one for the banks.
+    The payments are read once. Parts of accounts and of banks come from the same sums by
+    (sender, receiver, bank), which are stored when more than one part needs them.
     """
-    account_parts = [p for p in parts if p != "bank"]
-    shared = len(account_parts) > 1
-
+    if parts == ("bank",):
+        return History(bank=materialize(bank_history(tx, hubs), "bank"))
+    if parts == ("cycle",):
+        return History(cycle=materialize(cycle_history(network.edges(tx), include_self_loops), "cycle"))
+    sums = batch_sums(tx)
+    if len(parts) > 1:
+        sums = materialize(sums, "batch-sums")
+    edge_table = edges_of(sums)
+    if len(parts) - ("bank" in parts) > 1:
+        edge_table = materialize(edge_table, "edges")
+    build = {
+        "sender": lambda: sender_history(edge_table),
+        "receiver": lambda: receiver_history(edge_table),
+        "cycle": lambda: cycle_history(edge_table, include_self_loops),
+        "bank": lambda: with_hubs(bank_view(bank_sums(sums)), hubs),
+    }
     with job_pool(tx) as submit:
-        bank = submit(lambda: materialize(bank_history(tx, hubs), "bank")) if "bank" in parts else None
-        edge_table = network.edges(tx)
-        if shared:
-            edge_table = materialize(edge_table, "edges")
-        build = {
-            "sender": lambda: materialize(sender_history(edge_table), "sender"),
-            "receiver": lambda: materialize(receiver_history(edge_table), "receiver"),
-            "cycle": lambda: materialize(cycle_history(edge_table, include_self_loops), "cycle"),
-        }
-        pending = {part: submit(build[part]) for part in account_parts}
-        if bank is not None:
-            pending["bank"] = bank
+        pending = {part: submit(lambda part=part: materialize(build[part](), part)) for part in parts}
         return History(**{part: job.result() for part, job in pending.items()})
 
 

@@ -17,33 +17,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txrisk import fixed_values as fv
-from txrisk.functions.scalars import count_if
-from txrisk.operators.history import PARTS, History, bank_view, job_pool, receiver_view, sender_view, with_hubs
+from txrisk.operators.history import (
+    MONEY,
+    PARTS,
+    SQUARES,
+    History,
+    bank_sums,
+    bank_view,
+    batch_sums,
+    edges_of,
+    job_pool,
+    receiver_view,
+    sender_view,
+    with_hubs,
+)
 from txrisk.operators.network import DST, SRC
-from txrisk.operators.profiles import LABEL
 from txrisk.session import materialize
 from txrisk.sources.bucketed import BucketedTable, Commits
 
 BANK = "from_bank"
-#: Sums of money and of squares; amounts keep four digits after the point.
-MONEY, SQUARES = "decimal(38,4)", "decimal(38,2)"
 BUCKETS = 64
 #: Table of one end of the edges, its key, the other end.
 _SIDES = (("senders", SRC, DST), ("receivers", DST, SRC))
 
 
-def batch_sums(tx: DataFrame) -> DataFrame:
-    """Sums by (sender, receiver, bank): all that history needs, in one pass."""
-    amount = F.col("amount_paid").cast("decimal(28,4)")
-    square = (F.col("amount_paid").cast("double") * F.col("amount_paid").cast("double")).cast(SQUARES)
-    return tx.groupBy(SRC, DST, BANK).agg(
-        F.count(F.lit(1)).alias("n_tx"),
-        count_if(F.col(LABEL) == 1).alias("n_laundering"),
-        F.sum(amount).cast(MONEY).alias("amount"),
-        F.sum(square).cast(SQUARES).alias("squares"),
-    )
-
-
 class HistoryStore:
     """Edges, account totals, bank totals and reciprocal edges in one shared folder."""
 
@@ -105,9 +102,7 @@ class HistoryStore:
         return True
 
     def _write_edges(self, sums: DataFrame, part: int, before: list[int]) -> None:
-        day = sums.groupBy(SRC, DST).agg(
-            F.sum("n_laundering").alias("n_laundering"), F.sum("n_tx").alias("n_tx"), F.sum("amount").alias("amount")
-        )
+        day = edges_of(sums)
         known = self._read("edges", before).where("is_new = 1").select(SRC, DST, F.lit(0).alias("_known"))
         marked = day.join(known.hint("merge"), [SRC, DST], "left")
         new = F.coalesce(F.col("_known"), F.lit(1)).alias("is_new")
@@ -183,18 +178,10 @@ class HistoryStore:
         build = {
             "sender": lambda: sender_view(totals("senders", SRC)),
             "receiver": lambda: receiver_view(totals("receivers", DST)),
-            "bank": lambda: with_hubs(bank_view(self._bank_sums(committed)), hubs),
+            "bank": lambda: with_hubs(bank_view(bank_sums(self._read("banks", committed))), hubs),
             "cycle": lambda: self._read("cycles", committed).withColumn("is_in_cycle", F.lit(1)),
         }
         return History(**{part: build[part]() for part in parts})
 
-    def _bank_sums(self, committed: list[int]) -> DataFrame:
-        n, total = F.sum("n_tx"), F.sum("amount").cast("double")
-        spread = (F.sum("squares").cast("double") - total * total / n) / (n - 1)
-        deviation = F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0))))
-        return self._read("banks", committed).groupBy(BANK).agg(
-            (total / n).alias("mean"), deviation.alias("deviation"), n.alias("n"), F.sum("n_laundering").alias("bad")
-        )
-
     def batches(self) -> DataFrame:
         return self.spark.createDataFrame(self.commits.rows(), Commits._DDL).select("part", "name", "replaces")

@@ -49,12 +49,15 @@ def build_session(
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, the same rule on every master.
+    """The shared folder for intermediate tables.
 
-    It is the folder of ``spark.checkpoint.dir``; a session that sets none uses a
-    folder inside its warehouse, which every executor shares as well.
+    It is the folder of ``spark.checkpoint.dir``. A session on one machine that sets none
+    uses a folder inside its warehouse. On a cluster there must be one: a default warehouse
+    is a folder of the driver's machine, which executors do not see.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work").rstrip("/")
 
 
