@@ -7,8 +7,8 @@ stays where it is between sessions: opening it again only declares its folder.
 
 Everything is built from DataFrame operations. A group of copies of any size is
 counted by partial aggregation. Verdicts go back to the documents by an equality join
-of a table with one row per text of the batch, which adaptive execution splits where a
-text is hot.
+of a table with one row per text of the batch; the rows of the few texts that make up a
+share of the batch are joined under sub-keys, so they are spread over tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.llm.common import lower_ascii, materialize, whole_text
+from txrisk.operators.hot_keys import HotKeys, join_spread
 
+#: Texts with this share of a batch are spread; there are at most 1 / share of them.
+HOT_SHARE = 0.005
 FIELDS = "digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING"
 
 
@@ -66,12 +69,11 @@ class DigestIndex:
     def deduplicate(self, docs: DataFrame, batch: str = "first") -> DataFrame:
         digests = materialize(docs.select("doc_id", text_digest().alias("digest")), "digests")
         self.append(digests, batch)
-        # One row per text of the batch meets the buckets of the index; the rows of a hot text
-        # then meet it in a join whose sides are both shuffled, so adaptive execution can split them.
-        texts = digests.select("digest").distinct()
+        # One row per text of the batch meets the buckets of the index; then the documents meet it.
+        texts = digests.groupBy("digest").agg(F.count("*").alias("n_here"))
         found = materialize(texts.join(self.table().hint("merge"), "digest"), "digest-verdicts")
         verdict = (F.col("batch") == batch) & F.col("keep_id").eqNullSafe(F.col("doc_id"))
-        return digests.join(found, "digest").select(
+        return join_spread(digests, found, ["digest"], self._frequent(found), ["doc_id"]).select(
             "doc_id",
             "keep_id",
             "group_size",
@@ -79,6 +81,12 @@ class DigestIndex:
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
 
+    def _frequent(self, found: DataFrame) -> HotKeys:
+        """The digests with HOT_SHARE of the batch or more."""
+        total = found.agg(F.sum("n_here")).first()[0] or 0
+        often = found.where(F.col("n_here") >= F.lit(max(total * HOT_SHARE, 2.0))).select("digest").collect()
+        return HotKeys({"digest": tuple(bytes(row.digest) for row in often)})
+
     def keep_rows(self, docs: DataFrame, batch: str = "first") -> DataFrame:
         """The rows of a batch that stay, all columns as they came."""
         verdicts = self.deduplicate(docs, batch)
@@ -89,9 +97,10 @@ class DigestIndex:
             return docs.join(kept, "doc_id", "left_semi")
         marked = docs.withColumn("__digest", text_digest())
         chosen = self.table().where(F.col("batch") == batch)
-        same = F.col("__digest").eqNullSafe(F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+        chosen = chosen.select(F.col("digest").alias("__chosen"), F.col("keep_id").alias("__keep_id"))
+        same = F.col("__digest").eqNullSafe(F.col("__chosen")) & F.col("doc_id").eqNullSafe(F.col("__keep_id"))
         return (
-            marked.join(chosen.select("digest", "keep_id"), same, "left_semi")
+            marked.join(chosen, same, "left_semi")
             .dropDuplicates(["doc_id", "__digest"])
             .drop("__digest")
         )
