@@ -5,6 +5,27 @@ rates, limits, baselines and report wording. They are data, not logic, and are
 kept together in natural order so that they can be reviewed at a glance.
 """
 
+# --- names of payment formats and currencies -------------------------------
+WAREHOUSE_FORMATS = ["ACH", "Bitcoin", "Cash", "Cheque", "Credit Card", "Wire", "Reinvestment", "Other"]
+WAREHOUSE_CURRENCIES = [
+    "UK Pound",
+    "Ruble",
+    "Euro",
+    "Yen",
+    "US Dollar",
+    "Yuan",
+    "Rupee",
+    "Australian Dollar",
+    "Canadian Dollar",
+    "Shekel",
+    "Brazil Real",
+    "Mexican Peso",
+    "Saudi Riyal",
+    "Swiss Franc",
+    "Bitcoin",
+    "Dinar",
+]
+
 # --- risk tables -----------------------------------------------------------
 PAYMENT_FORMAT_RISK = {
     "ACH": 3,
@@ -378,3 +399,20 @@ REPORT = {
     "other_bank": "a different institution",
     "receiving_bank": "the receiving institution",
 }
+
+# --- sentences on activity and recipients ----------------------------------
+# Upper limit, text; the last one holds for all larger values.
+VELOCITY_DESCRIPTION = [
+    (50, "low activity account ({v} total transactions)"),
+    (500, "moderate activity account ({v} total transactions)"),
+    (5000, "high activity account ({v} total transactions)"),
+    (None, "very high volume account ({v} total transactions — warrants scrutiny)"),
+]
+# From this many transactions on, numbers are written with commas.
+VELOCITY_COMMAS_FROM = 500
+FAN_OUT_DESCRIPTION = [
+    (3, "very low ({n} recipients — consistent with personal account)"),
+    (10, "normal ({n} recipients — consistent with small business)"),
+    (50, "elevated ({n} recipients — warrants review)"),
+    (None, "very high ({n} recipients — strongly associated with smurfing and layering)"),
+]

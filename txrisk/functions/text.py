@@ -46,22 +46,20 @@ def currency_description(risk: Column) -> Column:
 
 
 def velocity_description(velocity: Column) -> Column:
-    plain, comma = velocity.cast("string"), with_commas(velocity)
-    return (
-        F.when(velocity < 50, fill("low activity account ({v} total transactions)", v=plain))
-        .when(velocity < 500, fill("moderate activity account ({v} total transactions)", v=plain))
-        .when(velocity < 5000, fill("high activity account ({v} total transactions)", v=comma))
-        .otherwise(fill("very high volume account ({v} total transactions — warrants scrutiny)", v=comma))
-    )
+    number = F.when(velocity < fv.VELOCITY_COMMAS_FROM, velocity.cast("string")).otherwise(with_commas(velocity))
+    chain = F
+    for limit, text in fv.VELOCITY_DESCRIPTION:
+        filled = fill(text, v=number)
+        chain = chain.when(velocity < limit, filled) if limit is not None else chain.otherwise(filled)
+    return chain
 
 
 def fan_out_description(fan: Column) -> Column:
-    return (
-        F.when(fan <= 3, fill("very low ({n} recipients — consistent with personal account)", n=fan))
-        .when(fan <= 10, fill("normal ({n} recipients — consistent with small business)", n=fan))
-        .when(fan <= 50, fill("elevated ({n} recipients — warrants review)", n=fan))
-        .otherwise(fill("very high ({n} recipients — strongly associated with smurfing and layering)", n=fan))
-    )
+    chain = F
+    for limit, text in fv.FAN_OUT_DESCRIPTION:
+        filled = fill(text, n=fan)
+        chain = chain.when(fan <= limit, filled) if limit is not None else chain.otherwise(filled)
+    return chain
 
 
 def bank_description(risk: Column, percent: bool = True) -> Column:

@@ -1,19 +1,22 @@
 """Named queries that run a stream over the tables to its end."""
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txrisk.operators import drift, sessions
 from txrisk.operators.history import fit_history
 from txrisk.operators.history_store import HistoryStore
+from txrisk.plans import training
 from txrisk.plans.catalog import query
 from txrisk.plans.catalog_history import STRETCH_SQL, stretch_of
 from txrisk.plans.catalog_monitoring import STATUS_SQL
+from txrisk.plans.feature_table import transform
 from txrisk.plans.oracle import BASE, drift_ctes, mean4
 from txrisk.session import materialize, new_path
 from txrisk.sources.warehouse import payment_stream, payments
 from txrisk.streaming import monitoring
 from txrisk.streaming.growing import score_and_grow
-from txrisk.streaming.scoring import log_stream, score_stream, start_file_sink, start_update_sink
+from txrisk.streaming.scoring import log_stream, score_ensemble_stream, score_stream, start_file_sink, start_update_sink
 
 _METRICS = ", ".join(drift.METRICS)
 
@@ -190,3 +193,32 @@ def stream_sessions(spark, folder):
     stream = _arriving(spark, folder).writeStream.foreachBatch(store).trigger(availableNow=True)
     stream.option("checkpointLocation", new_path(spark, "pieces-checkpoint")).start().awaitTermination()
     return sessions.sessions_of_pieces(spark.read.schema(schema).parquet(sink))
+
+
+@query(
+    "stream_ensemble",
+    f"""{BASE} SELECT payment_format, count(*) AS n, sum(is_laundering)::BIGINT AS positives,
+    count(*) AS n_judged, 0 AS n_unlike_batch FROM tx GROUP BY 1""",
+)
+def stream_ensemble(spark, folder):
+    """The ensemble on a stream of all payments, beside the same rows scored as a batch."""
+    rows = payments(spark, folder)
+    settings = training.Settings(boosted_depth=3, boosted_rounds=5, forest_trees=5, forest_depth=4)
+    model, known = training.train_ensemble(training.prepare(rows, settings), settings), fit_history(rows)
+    keys = ["ts", "from_account", "to_account", "amount_paid", "payment_format", "is_laundering"]
+    stream = score_ensemble_stream(payment_stream(_stream_session(spark), folder), known, model)
+    scored = _run(stream.select(*keys, "risk_score", "verdict"), spark, "stream-ensemble")
+    batch = training.score_ensemble(transform(rows, known), model).select(*keys, "risk_score", "verdict")
+
+    def counted(df):
+        judged = F.count(F.when(F.col("verdict").isin("FLAGGED", "CLEARED"), 1))
+        total = F.sum(F.col("risk_score").cast("decimal(20,4)"))
+        flagged = F.sum(F.when(F.col("verdict") == "FLAGGED", 1).otherwise(0))
+        return df.groupBy("payment_format").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.col("is_laundering").cast("long")).alias("positives"), judged.alias("n_judged"), F.struct(total, flagged).alias("sums")
+        )
+
+    other = counted(batch).select("payment_format", F.col("sums").alias("batch_sums"))
+    both = counted(scored).join(other, "payment_format", "full")
+    unlike = F.when(F.col("sums") == F.col("batch_sums"), 0).otherwise(1)
+    return both.select("payment_format", "n", "positives", "n_judged", unlike.alias("n_unlike_batch"))

@@ -10,26 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FORMATS = ["ACH", "Bitcoin", "Cash", "Cheque", "Credit Card", "Wire", "Reinvestment", "Other"]
-CURRENCIES = [
-    "UK Pound",
-    "Ruble",
-    "Euro",
-    "Yen",
-    "US Dollar",
-    "Yuan",
-    "Rupee",
-    "Australian Dollar",
-    "Canadian Dollar",
-    "Shekel",
-    "Brazil Real",
-    "Mexican Peso",
-    "Saudi Riyal",
-    "Swiss Franc",
-    "Bitcoin",
-    "Dinar",
-]
-
+from txrisk import fixed_values as fv
 
 def _pick(names: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (index % len(names)).cast("int") + 1)
@@ -72,9 +53,9 @@ def payments(
         F.col("s_nationkey").alias("to_bank"),
         F.col("l_extendedprice").alias("amount_paid"),
         F.col("l_extendedprice").alias("amount_received"),
-        _pick(FORMATS, F.col("l_partkey")).alias("payment_format"),
-        _pick(CURRENCIES, F.col("o_custkey")).alias("payment_currency"),
-        _pick(CURRENCIES, F.col("o_custkey") + mismatch).alias("receiving_currency"),
+        _pick(fv.WAREHOUSE_FORMATS, F.col("l_partkey")).alias("payment_format"),
+        _pick(fv.WAREHOUSE_CURRENCIES, F.col("o_custkey")).alias("payment_currency"),
+        _pick(fv.WAREHOUSE_CURRENCIES, F.col("o_custkey") + mismatch).alias("receiving_currency"),
         F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09), 1)
         .otherwise(0)
         .alias("is_laundering"),

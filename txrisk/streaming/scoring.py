@@ -9,7 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from txrisk import fixed_values as fv
 from txrisk.operators.history import History
 from txrisk.operators.hot_keys import HotKeys
+from txrisk.plans.feature_table import transform
 from txrisk.plans.scoring import score_with
+from txrisk.plans.training import Ensemble, score_ensemble
 from txrisk.sources.prediction_log import to_log
 
 
@@ -28,6 +30,18 @@ def score_stream(
     return score_with(payments, history, threshold, extra, hot)
 
 
+def score_ensemble_stream(
+    payments: DataFrame,
+    history: History,
+    model: Ensemble,
+    threshold: float | None = None,
+    hot: HotKeys | None = None,
+) -> DataFrame:
+    """The trained ensemble on a stream: the same features and models as in a batch. A
+    model is scored row by row, so it needs no state."""
+    return score_ensemble(transform(payments, history, hot=hot), model, threshold)
+
+
 def log_stream(scored: DataFrame) -> DataFrame:
     return to_log(scored)
 
