@@ -91,7 +91,7 @@ def test_cuts_of_constant_few_many_and_missing_values(spark):
     assert rows_of(binned.select(rows.columns)) == rows_of(rows)
 
 
-def test_quality_is_no_lower_than_the_forests(spark, folder):
+def test_quality_is_near_the_forests(spark, folder):
     settings = training.Settings(forest_trees=20, forest_depth=6)
     data = training.prepare(payments(spark, folder), settings)
     model = leafwise.train(data.train, settings=LeafwiseSettings(leaves=8, rounds=12, rate=0.2))
