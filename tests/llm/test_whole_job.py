@@ -56,6 +56,42 @@ def test_near_copies_with_changed_words_go(spark, folder):
     assert sorted(r.doc_id for r in stage(spark, docs, folder).collect()) == sorted(set(label))
 
 
+def test_shared_counts_equal_set_intersections(monkeypatch):
+    monkeypatch.setattr(near_copies, "_COLUMNS", 16)
+    pick = np.random.default_rng(3)
+    some = lambda n: [np.unique(pick.integers(0, 200, pick.integers(0, 90))).astype(np.uint64) for _ in range(n)]
+    left, right = [*some(9), np.empty(0, dtype=np.uint64)], some(7)
+    expected = [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert near_copies.shared_counts(left, right).tolist() == expected
+    assert near_copies.shared_counts(left[-1:], left[-1:]).tolist() == [[0]]
+    assert near_copies.shared_counts([], right).shape == (0, 7)
+
+
+@pytest.mark.parametrize("rounds", [0, 6])
+def test_crowded_keys_in_blocks_lose_no_link(spark, monkeypatch, rounds):
+    """A hundred texts around one, few alike enough, in blocks of a few texts, against all pairs."""
+    for name, value in {"CROWD": 3, "BLOCK_TEXTS": 9, "PAIRS": 0, "ROUNDS": rounds}.items():
+        monkeypatch.setattr(near_copies, name, value)
+    pick = random.Random(5)
+    base, texts = words(pick, 120), []
+    for copy in range(100):
+        changed = list(base)
+        for at in pick.sample(range(120), copy % 6):
+            changed[at] = words(pick, 1)[0]
+        texts.append(" ".join(changed) + (" tail" * (copy % 3)))
+    texts += ["", " ", "\n", None, *(" ".join(words(pick, 40)) for _ in range(9))]
+    sets = [shingle_set(t or "") for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = sets[i] | sets[j]
+            if (len(sets[i] & sets[j]) / len(both) if both else 1.0) >= 0.8 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if own == high else own for own in label]
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(table(spark, texts), few=0).collect()}
+    assert found == dict(enumerate(label))
+
+
 def test_every_character_of_a_long_word_is_in_a_window():
     text = "".join(chr(0x4E00 + k) for k in range(3000))
     told = b"".join(toxicity.windows(text)).decode()
