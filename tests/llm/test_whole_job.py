@@ -231,3 +231,26 @@ def test_repeated_rows_keep_their_own_copies(spark):
     for r in curriculum.training_order(docs).collect():
         found[tuple(r)] = found.get(tuple(r), 0) + 1
     assert found == {key: n for key, n in wanted.items() if n}
+
+
+def test_words_taken_are_read_off_the_ordered_mix(spark, folder, monkeypatch):
+    """The mixing query makes the mix itself, in the order of positions, and counts its copies."""
+    from txrisk.llm import queries
+
+    made = []
+    mix = curriculum.mix
+    monkeypatch.setattr(curriculum, "mix", lambda assigned: made.append(mix(assigned)) or made[-1])
+    rows = {r.doc_id: r for r in queries.QUERIES["op9_curriculum"](spark, folder).collect()}
+    order = [r.position for r in made[0].collect()]
+    assert len(order) > 100 and order == sorted(order)
+    expected = {r.doc_id: r for r in curriculum.assign(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    assert {k: r.taken for k, r in rows.items()} == {k: r.taken for k, r in expected.items()}
+    assert sum(r.taken for r in rows.values()) == made[0].agg({"size": "sum"}).first()[0]
+
+
+def test_rows_with_one_id_and_rows_without_words_keep_their_own_copies(spark):
+    rows = [(k % 3 or None, t, s) for s in ("u", None) for k, t in enumerate(["a b", "a b", "", None, "c d e", "a b"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assigned = curriculum.assign(docs)
+    kept = lambda df: sorted((repr((r.doc_id, r.source, r.size, r.taken)) for r in df.collect()))
+    assert kept(curriculum.taken_by(assigned, curriculum.mix(assigned))) == kept(assigned)

@@ -140,7 +140,8 @@ def assign(
 ) -> DataFrame:
     """Each document with its source's target, the copies taken and their positions.
 
-    ``positions`` has one time for each copy taken, ``taken`` the words of all copies.
+    ``positions`` has one time for each copy taken, ``taken`` the words of all copies,
+    ``start`` the words before the row in its source's order.
     Null texts and texts of white space have size 0 and are not taken.
     """
     sizes = materialize(sized(docs, keep), "sizes")
@@ -168,11 +169,34 @@ def assign(
         "source_size",
         "target",
         (F.col("size") * F.col("copies")).alias("taken"),
+        "start",
         found.alias("positions"),
         *keep,
     )
 
 
+def mix(assigned: DataFrame) -> DataFrame:
+    """The mix in order, stored: a row (source, start, size, position) per copy taken.
+
+    ``assigned`` comes from ``assign``; within a source no two rows with words have the same
+    start. The parts are ranges of position, each sorted.
+    """
+    copies = assigned.select("source", "start", "size", F.explode("positions").alias("position"))
+    return materialize(copies.orderBy("position", "source", "start"), "mix")
+
+
+def taken_by(assigned: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The assigned rows with the words that the mix holds of them and their first place in it."""
+    counted = mixed.groupBy("source", "start").agg(
+        F.sum("size").alias("in_mix"), F.min("position").alias("first_position")
+    )
+    counted = counted.withColumnsRenamed({"source": "of", "start": "from"})
+    # rows without words share their start with the next row, and are in no mix
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("start") == F.col("from")) & (F.col("size") > 0)
+    joined = assigned.join(counted, same, "left").drop("of", "from", "taken")
+    return joined.withColumn("taken", F.coalesce("in_mix", F.lit(0).cast("long"))).drop("in_mix")
+
+
 def _row_keys(docs: DataFrame) -> tuple[Column, Column]:
     """Two hashes over all columns of a row; equal rows have equal hashes."""
     values = []
