@@ -120,7 +120,8 @@ def take_quota(
     all of it; rows without a class are never taken.
     """
     carried = df.columns
-    hashed = df.withColumn(_HASH, content_hash(df, salt, columns))
+    # read four times below, so written once
+    hashed = materialize(df.withColumn(_HASH, content_hash(df, salt, columns)), "quota-rows")
     high, low = F.shiftright(_HASH, 16), F.col(_HASH).bitwiseAND((1 << 16) - 1)
     upper = materialize(
         hashed.where(F.col(label).isNotNull()).groupBy(label, high.alias(_HIGH)).agg(F.count(F.lit(1)).alias("n")), "quota-counts"
