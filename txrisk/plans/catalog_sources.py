@@ -11,9 +11,9 @@ from txrisk.plans.catalog import query
 from txrisk.plans.catalog_texts import CASE_TABLES
 from txrisk.plans.oracle import BASE
 from txrisk.plans.scoring import score_payments
-from txrisk.session import new_path
+from txrisk.session import materialize, new_path
 from txrisk.sources import readers, writers
-from txrisk.sources.warehouse import payments
+from txrisk.sources.warehouse import payments, stored_payments
 
 _RAW = [f.name for f in schemas.RAW_TRANSACTIONS.fields]
 _TEXT_IDS = ("from_bank", "from_account", "to_bank", "to_account")
@@ -21,7 +21,7 @@ _SCORES = ["ts", "from_account", "to_account", "amount_paid", "payment_format",
 
 
 def _scored(spark, folder):
-    return score_payments(payments(spark, folder))
+    return score_payments(stored_payments(spark, folder))
 
 
 @query(
@@ -66,7 +66,7 @@ def csv_accounts(spark, folder):
 def parquet_overwrite(spark, folder):
     """The second write replaces the first; formats become folders."""
     path = new_path(spark, "scored-parquet")
-    scored = _scored(spark, folder).select(*_SCORES)
+    scored = materialize(_scored(spark, folder).select(*_SCORES), "scored")
     for _ in range(2):
         writers.write_table(scored, path, partition_by=["payment_format"])
     return readers.read_table(spark, path, _SCORES)
@@ -88,7 +88,7 @@ def json_scores(spark, folder):
 def newest_report_run(spark, folder):
     """Two runs are stored side by side; only the newest is read."""
     path = new_path(spark, "report-runs")
-    reports = cases.case_reports(_scored(spark, folder))
+    reports = materialize(cases.case_reports(_scored(spark, folder)), "reports")
     for run, rows in (("2001-07-01", cases.reports_of_type(reports, "FN")), ("2001-08-01", reports)):
         writers.write_reports(rows, path, run)
     latest = readers.read_latest_reports(spark, path)
