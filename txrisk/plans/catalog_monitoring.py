@@ -7,10 +7,10 @@ from txrisk.operators import drift
 from txrisk.plans.catalog import query
 from txrisk.plans.oracle import AS_OF, BASE, DRIFT, half_up, mean4
 from txrisk.plans.scoring import prediction_log
-from txrisk.session import new_path
+from txrisk.session import materialize, new_path
 from txrisk.sources.log_store import LogStore
 from txrisk.sources.prediction_log import append_predictions, as_of_literal, read_log, recent_rows
-from txrisk.sources.warehouse import payments
+from txrisk.sources.warehouse import payments, stored_payments
 
 _METRICS = ", ".join(drift.METRICS)
 _WEEK = "period_days = 7"
@@ -163,7 +163,8 @@ def rolling_trend(spark, folder):
 
 def _kept(spark, folder):
     """The log in three batches, the second sent twice; nothing below reads its rows again."""
-    log, store = _log(spark, folder), LogStore(spark, new_path(spark, "log-store"))
+    log = materialize(prediction_log(stored_payments(spark, folder, with_latency=True)), "log")
+    store = LogStore(spark, new_path(spark, "log-store"))
     batches = [("early", "ts < TIMESTAMP_NTZ '1996-01-01'"), ("middle", "ts < TIMESTAMP_NTZ '2001-07-20'"), ("late", None)]
     done = F.lit(False)
     for name, until in batches:
