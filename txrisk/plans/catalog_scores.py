@@ -11,7 +11,7 @@ from txrisk.plans.catalog import query
 from txrisk.plans.oracle import BASE, mean4
 from txrisk.plans.scoring import escalations as escalation_flags
 from txrisk.plans.scoring import score_payments
-from txrisk.sources.warehouse import payments
+from txrisk.sources.warehouse import stored_payments
 
 CUT = fv.SCORECARD_THRESHOLD
 _KEYS = ["ts", "from_account", "to_account", "amount_paid", "payment_format", "is_laundering"]
@@ -19,7 +19,7 @@ _KEY_SQL = ", ".join(_KEYS)
 
 
 def _scored(spark, folder, parts=("sender",)):
-    return score_payments(payments(spark, folder), parts)
+    return score_payments(stored_payments(spark, folder), parts)
 
 
 @query(

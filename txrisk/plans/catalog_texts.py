@@ -11,7 +11,7 @@ from txrisk.plans.oracle import BASE, case_of, quoted
 from txrisk.plans.scoring import score_payments
 from txrisk.session import new_path
 from txrisk.sources import writers
-from txrisk.sources.warehouse import payments
+from txrisk.sources.warehouse import stored_payments
 
 _KEYS = ["ts", "from_account", "to_account", "amount_paid", "payment_format", "is_laundering"]
 _KEY_SQL = ", ".join(_KEYS)
@@ -19,7 +19,7 @@ _ORDER = _KEY_SQL
 
 
 def _scored(spark, folder, parts=("sender",)):
-    return score_payments(payments(spark, folder), parts)
+    return score_payments(stored_payments(spark, folder), parts)
 
 
 _CONTRIB = [
