@@ -76,3 +76,50 @@ def test_case_sample_limits_rows_before_the_shuffle(spark, folder):
 
     text = plan(case_sample(score_payments(payments(spark, folder))))
     assert text.count("WindowGroupLimit") == 2
+
+
+@pytest.mark.parametrize("name", ["split_exact", "undersample_exact", "leafwise_histograms", "features_hot_account"])
+def test_queries_that_read_the_payments_often_join_them_once(spark, folder, name):
+    assert "lineitem.parquet" not in plan(contract.queries()[name](spark, folder))
+
+
+@pytest.mark.parametrize("name, sink", [("parquet_overwrite", "write_table"), ("newest_report_run", "write_reports")])
+def test_sinks_write_stored_rows(spark, folder, monkeypatch, name, sink):
+    from txrisk.plans.catalog_sources import writers
+
+    seen, write = [], getattr(writers, sink)
+    monkeypatch.setattr(writers, sink, lambda rows, *args, **more: (seen.append(plan(rows)), write(rows, *args, **more)))
+    contract.queries()[name](spark, folder)
+    assert len(seen) == 2 and not any("lineitem.parquet" in text or "Join" in text for text in seen)
+
+
+def test_kept_log_is_scored_once(spark, folder, monkeypatch):
+    from txrisk.plans import catalog_monitoring
+
+    seen, append = [], catalog_monitoring.LogStore.append
+    watch = lambda store, name, rows: (seen.append(plan(rows)), append(store, name, rows))[1]
+    monkeypatch.setattr(catalog_monitoring.LogStore, "append", watch)
+    catalog_monitoring._kept(spark, folder)
+    assert len(seen) == 4 and not any("Join" in text for text in seen)
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    from txrisk.plans import catalog_history
+
+    monkeypatch.setattr(catalog_history, "_BUCKET_ROWS", 100)
+    assert [catalog_history.buckets_for(spark.range(n)) for n in (0, 5, 801, 3000)] == [8, 8, 9, 30]
+
+
+def test_a_stretch_of_several_files_is_one_micro_batch(spark, folder, monkeypatch, tmp_path):
+    """Also where a stretch has fewer rows than files, or none."""
+    from txrisk.plans import catalog_streams
+
+    monkeypatch.setattr(catalog_streams, "_FILE_ROWS", 1000)
+    rows = payments(spark, folder)
+    early = rows.where("ts < TIMESTAMP_NTZ '1992-02-01'").limit(2).union(rows.where("ts >= TIMESTAMP_NTZ '1998-01-01'"))
+    for turn, tx in enumerate((rows, early)):
+        counts, cut = [], catalog_streams.stretch_of(tx, 4).groupBy("stretch").count().collect()
+        wanted = {r.stretch: r["count"] for r in cut}
+        stream = catalog_streams._arriving(tx).writeStream.foreachBatch(lambda batch, _: counts.append(batch.count()))
+        stream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / str(turn))).start().awaitTermination()
+        assert counts == [wanted.get(k, 0) for k in range(4)]

@@ -1,5 +1,7 @@
 """Named queries: history that grows, frequent keys, payments in buckets."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from txrisk import fixed_values as fv
@@ -10,13 +12,16 @@ from txrisk.plans.feature_table import transform, transform_stored
 from txrisk.plans.oracle import BASE
 from txrisk.session import new_path
 from txrisk.sources.payment_store import PaymentStore
-from txrisk.sources.warehouse import payments
+from txrisk.sources.warehouse import stored_payments
 
 _CARRY_SQL = (
     "from_account, to_account, from_bank, to_bank, amount_paid, ts, is_laundering, payment_format, payment_currency"
 )
 
 
+_BUCKET_ROWS = 1_000_000
+
+
 def stretch_of(tx, n):
     """The payments with the number of their stretch of days, of n equal ones."""
     first, last = tx.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
@@ -28,18 +33,24 @@ STRETCH_SQL = """((ts::DATE - (SELECT min(ts)::DATE FROM tx)) * {n}
   // ((SELECT max(ts)::DATE FROM tx) - (SELECT min(ts)::DATE FROM tx) + 1))"""
 
 
-def _in_parts(spark, folder, n):
+def buckets_for(tx, least=8):
+    """Buckets that hold about a million payments each, so that a task's rows do not grow with the table."""
+    return max(least, math.ceil(tx.count() / _BUCKET_ROWS))
+
+
+def _in_parts(tx, n):
     """The payments in n stretches of time, stored so that each can be read by itself."""
+    spark = tx.sparkSession
     path = new_path(spark, "daily-payments")
-    stretch_of(payments(spark, folder), n).write.partitionBy("stretch").parquet(path)
+    stretch_of(tx, n).write.partitionBy("stretch").parquet(path)
     stored = spark.read.parquet(path)
     return [(f"stretch {k}", stored.where(F.col("stretch") == k).drop("stretch")) for k in range(n)]
 
 
-def _grown(spark, folder, n, buckets=8):
-    store = HistoryStore(spark, new_path(spark, "history"), buckets)
-    for name, tx in _in_parts(spark, folder, n):
-        store.add(name, tx)
+def _grown(tx, n):
+    store = HistoryStore(tx.sparkSession, new_path(tx.sparkSession, "history"), buckets_for(tx))
+    for name, part in _in_parts(tx, n):
+        store.add(name, part)
     return store
 
 
@@ -51,7 +62,7 @@ def _grown(spark, folder, n, buckets=8):
 )
 def history_in_parts(spark, folder):
     """Account history after ten batches, each read once."""
-    known = _grown(spark, folder, 10).history(("sender", "receiver"))
+    known = _grown(stored_payments(spark, folder), 10).history(("sender", "receiver"))
     sent = known.sender.withColumnRenamed("from_account", "account")
     received = known.receiver.withColumnRenamed("to_account", "account").drop("n_received")
     return sent.join(received, "account", "full")
@@ -63,10 +74,11 @@ def history_in_parts(spark, folder):
 )
 def features_grown_history(spark, folder):
     """The feature table with stored history: three batches, one of them sent twice, then compacted."""
-    store = _grown(spark, folder, 3)
-    store.add("stretch 1", payments(spark, folder))
+    tx = stored_payments(spark, folder)
+    store = _grown(tx, 3)
+    store.add("stretch 1", tx)
     store.compact()
-    return transform(payments(spark, folder), store.history())
+    return transform(tx, store.history())
 
 
 @query(
@@ -75,8 +87,8 @@ def features_grown_history(spark, folder):
 )
 def features_bucketed(spark, folder):
     """The feature table of payments that stay in their buckets."""
-    tx = payments(spark, folder)
-    store = PaymentStore(spark, new_path(spark, "payments"), 8)
+    tx = stored_payments(spark, folder)
+    store = PaymentStore(spark, new_path(spark, "payments"), buckets_for(tx))
     store.add("all", tx)
     return transform_stored(store, history.fit_history(store.payments()))
 
@@ -100,7 +112,7 @@ _HOT = "CASE WHEN (to_account + hour(ts)) % 10 < 3 THEN -7 WHEN to_account % 17
 )
 def features_hot_account(spark, folder):
     """History joined to payments of which one account sends about 30 % and many have no sender."""
-    tx = with_hot_account(payments(spark, folder))
+    tx = with_hot_account(stored_payments(spark, folder))
     parts = ("sender", "receiver", "cycle")
     table = transform(tx, history.fit_history(tx, parts), hot=history.hot_keys_of(tx, parts))
     return table.select(

@@ -1,5 +1,7 @@
 """Named queries that run a stream over the tables to its end."""
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -8,12 +10,12 @@ from txrisk.operators.history import fit_history
 from txrisk.operators.history_store import HistoryStore
 from txrisk.plans import training
 from txrisk.plans.catalog import query
-from txrisk.plans.catalog_history import STRETCH_SQL, stretch_of
+from txrisk.plans.catalog_history import STRETCH_SQL, buckets_for, stretch_of
 from txrisk.plans.catalog_monitoring import STATUS_SQL
 from txrisk.plans.feature_table import transform
 from txrisk.plans.oracle import BASE, drift_ctes, mean4
 from txrisk.session import materialize, new_path
-from txrisk.sources.warehouse import payment_stream, payments
+from txrisk.sources.warehouse import payment_stream, payments, stored_payments
 from txrisk.streaming import monitoring
 from txrisk.streaming.growing import score_and_grow
 from txrisk.streaming.scoring import log_stream, score_ensemble_stream, score_stream, start_file_sink, start_update_sink
@@ -125,16 +127,28 @@ def stream_drift_status(spark, folder):
 
 # --- state that grows with the stream ----------------------------------------
 _STRETCHES = 4
+#: Payments in a file of the stream.
+_FILE_ROWS = 2_000_000
+
 
+def _arriving(tx, n=_STRETCHES):
+    """The payments as a stream of files in the order of time, a stretch of n per micro-batch.
 
-def _arriving(spark, folder, n=_STRETCHES):
-    """The payments as a stream of n files in the order of time, one per micro-batch."""
+    Every stretch has the same number of files, so that a trigger takes one whole stretch.
+    """
+    spark = tx.sparkSession
     path = new_path(spark, "arriving")
-    cut = materialize(stretch_of(payments(spark, folder), n), "stretches")
+    cut = materialize(stretch_of(tx, n), "stretches")
     rows = cut.drop("stretch")
+    most = cut.groupBy("stretch").count().agg(F.max("count")).first()[0] or 0
+    files = max(1, math.ceil(most / _FILE_ROWS))
     for k in range(n):
-        cut.where(f"stretch = {k}").drop("stretch").coalesce(1).write.mode("append").parquet(path)
-    return _stream_session(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        mine = cut.where(f"stretch = {k}").drop("stretch")
+        (mine.coalesce(1) if files == 1 else mine.repartition(files)).write.mode("append").parquet(path)
+        # a task without rows writes no file; empty ones stand in
+        for _ in range(files * (k + 1) - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return _stream_session(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 _GROWN = ["fan_out_degree", "fan_in_degree", "tx_velocity", "is_in_cycle", "bank_risk_score"]
@@ -161,8 +175,10 @@ _GROWN = ["fan_out_degree", "fan_in_degree", "tx_velocity", "is_in_cycle", "bank
 )
 def stream_growing_history(spark, folder):
     """Each micro-batch sees the history of the earlier ones, and adds its own."""
-    store, sink = HistoryStore(spark, new_path(spark, "history"), 8), new_path(spark, "grown-scores")
-    score_and_grow(_arriving(spark, folder), store, sink, new_path(spark, "grown-checkpoint")).awaitTermination()
+    tx = stored_payments(spark, folder)
+    store = HistoryStore(spark, new_path(spark, "history"), buckets_for(tx))
+    sink = new_path(spark, "grown-scores")
+    score_and_grow(_arriving(tx), store, sink, new_path(spark, "grown-checkpoint")).awaitTermination()
     scored = spark.read.parquet(sink)
     return scored.select("ts", "from_account", "to_account", "amount_paid", "payment_format", *_GROWN)
 
@@ -185,12 +201,13 @@ def account_sessions(spark, folder):
 def stream_sessions(spark, folder):
     """Pieces of sessions stored by each micro-batch, put together over all of them."""
     sink = new_path(spark, "session-pieces")
-    schema = sessions.session_pieces(payments(spark, folder)).schema
+    tx = stored_payments(spark, folder)
+    schema = sessions.session_pieces(tx).schema
 
     def store(rows, batch):
         sessions.session_pieces(rows).write.mode("overwrite").parquet(f"{sink}/batch={batch}")
 
-    stream = _arriving(spark, folder).writeStream.foreachBatch(store).trigger(availableNow=True)
+    stream = _arriving(tx).writeStream.foreachBatch(store).trigger(availableNow=True)
     stream.option("checkpointLocation", new_path(spark, "pieces-checkpoint")).start().awaitTermination()
     return sessions.sessions_of_pieces(spark.read.schema(schema).parquet(sink))
 
@@ -202,7 +219,7 @@ def stream_sessions(spark, folder):
 )
 def stream_ensemble(spark, folder):
     """The ensemble on a stream of all payments, beside the same rows scored as a batch."""
-    rows = payments(spark, folder)
+    rows = stored_payments(spark, folder)
     settings = training.Settings(boosted_depth=3, boosted_rounds=5, forest_trees=5, forest_depth=4)
     model, known = training.train_ensemble(training.prepare(rows, settings), settings), fit_history(rows)
     keys = ["ts", "from_account", "to_account", "amount_paid", "payment_format", "is_laundering"]
