@@ -44,7 +44,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, Jaccard 0.8 or more) the smallest doc_id stays."""
+    """Of each group of near copies (5-word shingles; linked by SimHash, then exactly at Jaccard 0.8 or more) the
+    smallest doc_id stays."""
     _long_rows(spark)
     return near_copies.keep_one(docs)
 

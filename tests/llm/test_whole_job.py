@@ -254,3 +254,17 @@ def test_rows_with_one_id_and_rows_without_words_keep_their_own_copies(spark):
     assigned = curriculum.assign(docs)
     kept = lambda df: sorted((repr((r.doc_id, r.source, r.size, r.taken)) for r in df.collect()))
     assert kept(curriculum.taken_by(assigned, curriculum.mix(assigned))) == kept(assigned)
+
+
+def test_near_copies_are_linked_by_their_fingerprints(spark, monkeypatch):
+    """Texts within three bits meet by SimHash, whatever the bands give; each link is still verified."""
+    from txrisk.llm import simhash
+
+    words = [f"w{k * k % 977}" for k in range(600)]
+    texts = [" ".join(words), " ".join([*words[:-1], "changed"]), " ".join(f"v{k}" for k in range(300))]
+    prints = [simhash.fingerprint(text, near_copies.SHINGLE) for text in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3
+    bands = lambda found: found.sum() + np.arange(near_copies.BANDS, dtype=np.uint64)
+    monkeypatch.setattr(near_copies, "band_keys", bands)
+    members = near_copies.near_copies(table(spark, texts)).collect()
+    assert [r.component_id for r in sorted(members)] == [0, 0, 2]

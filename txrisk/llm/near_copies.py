@@ -1,6 +1,9 @@
-"""Near copies by exact Jaccard similarity of word shingles, candidates by banded MinHash.
+"""Near copies by exact Jaccard similarity of word shingles, candidates by SimHash, the rest by banded MinHash.
 
-A text is the set of its 5-word shingles. Each of BANDS keys combines ROWS minima of
+A text is the set of its 5-word shingles. SimHash fingerprints of these link most near copies:
+texts of one fingerprint with its first text, and the first texts of fingerprints within three
+bits. At similarity 0.8 two fingerprints lie about ten bits apart, so an exact way for the
+others follows. Each of BANDS keys combines ROWS minima of
 independent hashes, so two texts of similarity s share a key with the chance
 1 - (1 - s**ROWS)**BANDS: at 0.8 three pairs in a million meet nowhere, above it fewer.
 Every link is verified on the whole sets; nothing is linked by its sketch alone.
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from txrisk.llm import simhash
 from txrisk.llm.common import materialize, row_slices, whole_text
 from txrisk.llm.components import components
 
@@ -84,21 +88,23 @@ def _high(part: np.ndarray, k: int) -> np.uint64:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, size, keys): node names the text, size counts its shingles."""
+    """(doc_id, node, size, keys, fp): node names the text, size counts its shingles, fp is its SimHash."""
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, 128):
-            sizes, keys = [], []
+            sizes, keys, prints = [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text)
                 sizes.append(len(found))
                 keys.append(band_keys(found).view(np.int64))
+                prints.append(simhash.fingerprint(text, SHINGLE))
             columns = [batch.column("doc_id"), batch.column("node"), pa.array(sizes, pa.int64())]
             columns.append(pa.array(keys, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "keys"])
+            columns.append(pa.array(np.array(prints, dtype=np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "keys", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_named())
-    return rows.mapInArrow(compute, "doc_id long, node long, size long, keys array<long>")
+    return rows.mapInArrow(compute, "doc_id long, node long, size long, keys array<long>, fp long")
 
 
 def _named():
@@ -117,6 +123,19 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(compute, "node long, words binary")
 
 
+def _fingerprint_pairs(nodes: DataFrame, near) -> DataFrame:
+    """Pairs (a, b) of texts whose fingerprints are equal or within three bits, enough to join all of them."""
+    first = nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("first"))
+    first = materialize(first.select("fp", "first.node", "first.size"), "fingerprint-firsts")
+    others = first.select("fp", F.col("node").alias("other"), F.col("size").alias("other_size"))
+    linked = simhash.links(first.select("fp"))
+    close = first.join(linked.select(F.col("a").alias("fp"), "b"), "fp").join(others.withColumnRenamed("fp", "b"), "b")
+    columns = ("node", "size", "other", "other_size")
+    met = nodes.join(others, "fp").select(*columns).union(close.select(*columns)).where(near)
+    pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return materialize(pairs, "fingerprint-pairs")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingles are alike enough."""
 
@@ -214,20 +233,21 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, few: int = FEW)
 def near_texts(docs: DataFrame, similarity: float = SIMILARITY, few: int = FEW) -> DataFrame:
     """The same with ``node``, the name of the row's text."""
     rows = materialize(sketches(docs), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
     nodes = materialize(nodes, "sketch-nodes")
     dealt = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = materialize(dealt.join(shared, "key"), "sketch-members")
-    sets = materialize(_sets(docs, members.select("node").distinct()), "shingle-sets")
     near = (F.least("size", "other_size") >= F.lit(similarity - 1e-9) * F.greatest("size", "other_size")) & (F.col("node") != F.col("other"))
     ordered = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    found, done, placed, before = None, None, members.withColumn("root", F.col("node")), None
+    done = _fingerprint_pairs(nodes, near)
+    met = members.select("node").union(done.select("a")).union(done.select("b")).distinct()
+    sets = materialize(_sets(docs, met), "shingle-sets")
+    found, before = _verified(done, sets, similarity), None
     limit = max(few, PAIRS * nodes.count())
     for turn in range(ROUNDS + 1):
-        if found is not None:
-            roots = components(found)
-            placed = members.join(roots, "node", "left").select("node", "size", "key", F.coalesce("root", "node").alias("root"))
+        roots = components(found)
+        placed = members.join(roots, "node", "left").select("node", "size", "key", F.coalesce("root", "node").alias("root"))
         parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
         sums = (F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum(F.col("n") * F.col("n")).alias("same"))
         keys = parts.groupBy("key").agg(*sums)
@@ -253,17 +273,13 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY, few: int = FEW)
             )
             pairs = rest.join(leaders, "key")
         pairs = pairs.where(near & (F.col("root") != F.col("other_root"))).select(*ordered).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "near-pairs")
+        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "near-pairs")
         links = _verified(pairs, sets, similarity)
         if last:
             links = links.union(crowded)
-        found, done = (links, pairs) if found is None else (found.union(links), done.union(pairs))
+        found, done = found.union(links), done.union(pairs)
         if last:
             break
-    if found is None:
-        return rows.join(nodes.select("node", F.col("least").alias("component_id")), "node").select("doc_id", "node", "component_id")
     named = components(found).join(nodes.select("node", "least"), "node")
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     labels = named.join(smallest, "root").select("node", "component")
