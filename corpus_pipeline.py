@@ -60,8 +60,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, with checksums of the ids and of the text they decode to."""
     _long_rows(spark)
     path = public_tokenizers.path(TOKENIZER)
-    encoded = bpe_codec.encode_documents(docs, path, bpe_codec.build_lexicon(docs, path))
-    return bpe_codec.digests(bpe_codec.decode_documents(encoded, path))
+    return bpe_codec.digests(bpe_codec.encode_and_decode(docs, path, bpe_codec.build_lexicon(docs, path)))
 
 
 STAGES = [

@@ -3,11 +3,14 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from txrisk.llm import chaining, cross_entropy, curriculum, near_copies, pii_crf, toxicity
+from txrisk.llm import bpe_codec, chaining, cross_entropy, curriculum, near_copies, pii_crf, toxicity
 from txrisk.llm.common import ship_package
+from txrisk.llm.queries import QUERIES
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -268,3 +271,19 @@ def test_near_copies_are_linked_by_their_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "band_keys", bands)
     members = near_copies.near_copies(table(spark, texts)).collect()
     assert [r.component_id for r in sorted(members)] == [0, 0, 2]
+
+
+def test_codec_goes_through_one_worker_and_forgets_long_words(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, ["the same words, the same ids", "", "x" * 500 + " <|endoftext|> \u00e9\u4e2d" + "y" * 200, None])
+    lexicon = bpe_codec.build_lexicon(docs, path)
+    both = bpe_codec.encode_and_decode(docs, path, lexicon)
+    apart = bpe_codec.decode_documents(bpe_codec.encode_documents(docs, path, lexicon), path)
+    assert sorted(both.collect()) == sorted(apart.collect())
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    assert plan(both).count("MapInArrow") == 1
+    assert plan(QUERIES["op2_bpe_codec"](spark, "/root/testdata/sf0.001")).count("MapInArrow") == 1
+    coder, library = bpe_codec.Codec(bpe_codec.Vocabulary(path)), Tokenizer.from_file(path)
+    texts = ["z" * 1000 + " short", "q" * 65]
+    assert coder.encode_many(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(coder.words) == {" short"}

@@ -30,7 +30,9 @@ from txrisk.llm.transducer import Transducer
 #: A word enters the lexicon if it makes up this share of all words, so at most 1 / share enter.
 FREQUENT_SHARE = 2e-6
 #: Words that a worker remembers, and counts that it holds, before it starts afresh.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
+#: Longer words, in letters, are not remembered.
+LONGEST = 64
 #: Symbols from which a word is merged with a heap instead of repeated scans.
 LONG_WORD = 40
 
@@ -175,15 +177,20 @@ class Codec:
             [(None if special is not None else words_of_text(part), special) for part, special in self._segments(text)]
             for text in texts
         ]
-        self._learn({word for parts in cut for words, _ in parts if words for word in words})
+        met = {word for parts in cut for words, _ in parts if words for word in words}
+        self._learn(met)
         known = self.words.__getitem__
-        return [
+        packed = [
             b"".join(
                 np.int32(special).tobytes() if words is None else b"".join(map(known, words))
                 for words, special in parts
             )
             for parts in cut
         ]
+        for word in met:
+            if len(word) > LONGEST:
+                del self.words[word]
+        return packed
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         return [np.frombuffer(packed, dtype="<i4").tolist() for packed in self.encode_packed(texts)]
@@ -246,8 +253,8 @@ def build_lexicon(docs: DataFrame, tokenizer: str, share: float = FREQUENT_SHARE
     return path
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, lexicon: str | None) -> DataFrame:
-    """doc_id and the ids of each whole text; a null or empty text has none."""
+def _encoder(tokenizer: str, lexicon: str | None):
+    """Batches of doc_id and text to batches of doc_id and ids."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(tokenizer, lexicon)
@@ -258,12 +265,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, lexicon: str | None) -> Da
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
             yield pa.RecordBatch.from_arrays([keys, ids], ["doc_id", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, ids array<int>")
+    return encode
 
 
-def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """Adds the decoded ``text`` to rows of doc_id and ids."""
+def _decoder(tokenizer: str):
+    """Batches of doc_id and ids to batches with the decoded text beside them."""
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(tokenizer)
@@ -275,7 +281,27 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
                 [batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"]
             )
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids array<int>, text string")
+    return decode
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+
+
+def encode_documents(docs: DataFrame, tokenizer: str, lexicon: str | None) -> DataFrame:
+    """doc_id and the ids of each whole text; a null or empty text has none."""
+    return _rows(docs).mapInArrow(_encoder(tokenizer, lexicon), "doc_id long, ids array<int>")
+
+
+def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
+    """Adds the decoded ``text`` to rows of doc_id and ids."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoder(tokenizer), "doc_id long, ids array<int>, text string")
+
+
+def encode_and_decode(docs: DataFrame, tokenizer: str, lexicon: str | None) -> DataFrame:
+    """What decode_documents gives for encode_documents, in one worker a task instead of two."""
+    encode, decode = _encoder(tokenizer, lexicon), _decoder(tokenizer)
+    return _rows(docs).mapInArrow(lambda batches: decode(encode(batches)), "doc_id long, ids array<int>, text string")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

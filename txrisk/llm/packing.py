@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.bpe_codec import PATTERN, REMEMBERED, Codec, Vocabulary
+from txrisk.llm.bpe_codec import PATTERN, Codec, Vocabulary
 from txrisk.llm.common import ids_and_texts, materialize, row_slices, whole_text
 
 WINDOW = 1024
@@ -40,6 +40,8 @@ WINDOW = 1024
 FULL, LOW = 1 << 20, 1 << 17
 #: Tasks whose last windows are packed together.
 TOGETHER = 64
+#: Words that a worker remembers before it starts afresh.
+REMEMBERED = 700_000
 #: Sequence ids are numbered inside a task; these bits hold the number.
 BITS = 40
 
