@@ -287,3 +287,30 @@ def test_codec_goes_through_one_worker_and_forgets_long_words(spark):
     texts = ["z" * 1000 + " short", "q" * 65]
     assert coder.encode_many(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert set(coder.words) == {" short"}
+
+
+def test_each_meets_each_where_other_documents_lie_between(spark):
+    """Parts of a passage of two documents stand in a document before and in five between them."""
+    pick = random.Random(12)
+    passage = words(pick, 56)
+    part = lambda k: words(pick, 30) + passage[k : k + 26] + words(pick, 30)
+    before = [part(k) for k in (0, 8, 16, 24, 30)]
+    between = [part(k) for k in (0, 8, 16, 24, 30) for _ in range(5)]
+    with_it = words(pick, 30) + passage + words(pick, 30)
+    texts = [*before, with_it, *between, words(pick, 9) + passage + words(pick, 50)]
+    rows = chaining.passages(table(spark, [" ".join(t) for t in texts])).collect()
+    assert {(r.rep_id, r.doc_id) for r in rows} == {(len(before), len(texts) - 1)}
+    assert [(r.rep_start, r.rep_end, r.start, r.end) for r in rows] == [(30, 86, 9, 65)]
+
+
+def test_copies_are_tied_to_the_first_and_crowded_seeds_count(spark):
+    pick = random.Random(13)
+    passage = words(pick, 60)
+    whole = " ".join(words(pick, 20) + passage + words(pick, 20))
+    # More documents than SHARED hold the passage, in texts of their own.
+    own = [" ".join(words(pick, 25) + passage + words(pick, 25)) for _ in range(chaining.SHARED + 8)]
+    texts = [whole, *own, whole.upper(), whole + " "]
+    rows = chaining.passages(table(spark, texts)).collect()
+    assert {r.doc_id for r in rows if r.rep_id == 0} == set(range(1, len(texts)))
+    copies = [(r.rep_start, r.rep_end, r.start, r.end, r.similarity) for r in rows if r.doc_id > len(own)]
+    assert copies == [(0, 100, 0, 100, 1.0)] * 2
