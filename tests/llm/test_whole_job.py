@@ -1,6 +1,8 @@
 """Cases that a cut, a sample or a loose filter would lose, against brute force or planted truth."""
 
+import glob
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -314,3 +316,51 @@ def test_copies_are_tied_to_the_first_and_crowded_seeds_count(spark):
     assert {r.doc_id for r in rows if r.rep_id == 0} == set(range(1, len(texts)))
     copies = [(r.rep_start, r.rep_end, r.start, r.end, r.similarity) for r in rows if r.doc_id > len(own)]
     assert copies == [(0, 100, 0, 100, 1.0)] * 2
+
+
+def test_passages_leave_no_shuffled_files(spark):
+    """Each step of the chaining job is written; what it shuffled does not add up on the disks."""
+    pick = random.Random(14)
+    passage = words(pick, 60)
+    docs = table(spark, [" ".join(words(pick, 30) + passage + words(pick, 30)) for _ in range(6)])
+    folders = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, setting = shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    found = chaining.passages(docs)
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert found.count() == found.count() == 5
+
+
+def test_extensions_and_bounds_equal_brute_force():
+    """Passages grow to where equal words less three for each other word are most; no chain that can
+    become a passage is left out before it is aligned."""
+    pick = random.Random(15)
+    for _ in range(60):
+        texts = [tuple(np.array([pick.randrange(3) for _ in range(pick.randint(20, 150))], dtype=np.uint32) for _ in "ab") for _ in range(3)]
+        matches = sorted((p, pick.randrange(len(a) - chaining.K), pick.randrange(len(b) - chaining.K)) for p, (a, b) in enumerate(texts) for _ in range(8))
+        pair, x, y = (np.array(column) for column in zip(*matches))
+        around = chaining._around(texts, pair, x, y)
+        starts = np.arange(len(pair))
+        counts = []
+        for k, (p, at, to) in enumerate(matches):
+            a, b = texts[p]
+            n = min(at, to)
+            sides = [a[at - n : at][::-1] == b[to - n : to][::-1]]
+            at, to = at + chaining.K, to + chaining.K
+            n = min(len(a) - at, len(b) - to)
+            sides.append(a[at : at + n] == b[to : to + n])
+            plain, most = [], chaining.K
+            for side in sides:
+                worth = np.cumsum(np.append(0, np.where(side, 1, -chaining.MISMATCH)))
+                end = int(worth.argmax())
+                plain += [end, int(side[:end].sum())]
+                most += int(side[: end + chaining.EXTEND].sum())
+            assert around[1:5, k].tolist() == plain
+            counts.append(most)
+        for least in (5, 20, 40):
+            assert chaining.hopeful(around, x, y, starts, least)[0].tolist() == [n >= least for n in counts]
