@@ -305,6 +305,34 @@ def test_each_meets_each_where_other_documents_lie_between(spark):
     assert [(r.rep_start, r.rep_end, r.start, r.end) for r in rows] == [(30, 86, 9, 65)]
 
 
+def test_each_meets_each_where_all_seeds_are_crowded(spark):
+    """As before, and each part stands in more than SHARED documents before the two."""
+    pick = random.Random(15)
+    passage = words(pick, 56)
+    part = lambda k: words(pick, 30) + passage[k : k + 26] + words(pick, 30)
+    before = [part(k) for k in (0, 8, 16, 24, 30) for _ in range(chaining.SHARED + 2)]
+    between = [part(k) for k in (0, 8, 16, 24, 30) for _ in range(6)]
+    texts = [*before, words(pick, 30) + passage + words(pick, 30), *between, words(pick, 9) + passage + words(pick, 50)]
+    rows = chaining.passages(table(spark, [" ".join(t) for t in texts])).collect()
+    assert {(r.rep_id, r.doc_id) for r in rows} == {(len(before), len(texts) - 1)}
+    assert [(r.rep_start, r.rep_end, r.start, r.end) for r in rows] == [(30, 86, 9, 65)]
+
+
+def test_every_place_of_a_seed_meets_every_place_in_other_documents():
+    pick = random.Random(16)
+    rows = sorted((s, d, a) for s in range(3) for d in range(6) for a in pick.sample(range(400), pick.choice((0, 1, 40, 150))))
+    seed, doc, at = (np.array(c, kind) for c, kind in zip(zip(*rows), ("<u4", "<i8", "<i4")))
+    wanted = sorted((d, e, a, b) for k, (s, d, a) in enumerate(rows) for t, e, b in rows[k + 1 :] if s == t and d != e)
+    found = [(doc[a], doc[b], at[a], at[b]) for a, b in chaining._ties(seed, doc)]
+    assert sorted(zip(*(np.concatenate(c).tolist() for c in zip(*found)))) == wanted
+    found = []
+    for pairs, (side, d, places) in chaining._blocks(seed, doc, at):
+        a, b = chaining._meet(side, d)
+        assert len(a) <= pairs and len(d) <= 2 * chaining.BLOCK
+        found.append((d[a], d[b], places[a], places[b]))
+    assert sorted(zip(*(np.concatenate(c).tolist() for c in zip(*found)))) == wanted
+
+
 def test_copies_are_tied_to_the_first_and_crowded_seeds_count(spark):
     pick = random.Random(13)
     passage = words(pick, 60)
