@@ -1,3 +1,7 @@
+import glob
+import time
+from pathlib import Path
+
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -5,6 +9,7 @@ from pyspark.sql import functions as F
 from txrisk import fixed_values as fv
 from txrisk.plans import training
 from txrisk.plans.tree_attribution import model_nodes, with_tree_drivers
+from txrisk.session import materialize, work_folder
 from txrisk.sources.writers import write_csv
 from txrisk.sources.warehouse import payments
 
@@ -80,3 +85,28 @@ def test_combine_importance(spark):
         ("y", 0.625),
         ("x", 0.375),
     ]
+
+
+def test_prepare_stores_train_once_and_test_when_it_is_read(spark, folder):
+    stored = lambda: {p.name.rsplit("-", 1)[0] for p in set(work.iterdir()) - before}
+    work = Path(work_folder(spark).removeprefix("file:")) / "txrisk"
+    materialize(spark.range(1), "one")
+    before = set(work.iterdir())
+    data = training.prepare(payments(spark, folder), TINY)
+    assert "train" in stored() and not {"train-weighted", "test"} & stored()
+    assert data.test.count() == data.test.count() > 0
+    assert [p.name.rsplit("-", 1)[0] for p in set(work.iterdir()) - before].count("test") == 1
+
+
+def test_stored_steps_leave_no_shuffled_files(spark):
+    folders = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffled(), spark.conf.get(key)
+    stored = materialize(spark.range(1000).repartition(5, "id"), "rows")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get(key) == setting and stored.count() == 1000
