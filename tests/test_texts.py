@@ -12,6 +12,7 @@ from txrisk.functions.scorecard import (
     top_drivers,
 )
 from txrisk.operators import cases
+from txrisk.plans.catalog_texts import count_and_first_digest
 
 BASE = {
     "risk_score": 0.9,
@@ -176,3 +177,15 @@ def test_reports_of_type(spark):
     reports = spark.createDataFrame([("TP",), ("FN",)], "case_type string")
     assert cases.reports_of_type(reports).count() == 2
     assert cases.reports_of_type(reports, "FN").count() == 1
+
+
+def test_first_digests_need_no_sort_of_the_rows(spark):
+    keyed = spark.range(3000).select((F.col("id") % 7).cast("string").alias("key"), F.md5(F.col("id").cast("string")).alias("md5"))
+    ends = [("ends", "f" * 32), ("ends", "f" * 31 + "e"), ("zero", "0" * 32), ("zero", "0" * 31 + "1"), ("none", None), ("word", "0" * 15 + "f" * 17), ("word", "0" * 14 + "1" + "0" * 17)]
+    rows = keyed.union(spark.createDataFrame(ends, "key string, md5 string"))
+    found = count_and_first_digest(rows, "key", "md5")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate(") == 2 and plan.count("SortAggregate(") == 2  # the latter on 16 rows a key
+    wanted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("md5").alias("first_digest"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+    assert found.schema["n"].dataType == wanted.schema["n"].dataType

@@ -1,5 +1,8 @@
 """Named queries: drivers, reports and text checks."""
 
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk import fixed_values as fv
@@ -287,6 +290,27 @@ def _issue_sql() -> str:
 _ISSUE_BODY = "explanation || CASE WHEN to_account % 5 = 0 THEN ' circular cross-border tx_velocity per hour' ELSE '' END"
 
 
+def count_and_first_digest(rows: DataFrame, key: str, digest: str) -> DataFrame:
+    """Rows and the smallest MD5 (32 hexadecimal digits) per key.
+
+    The smallest of texts is found by sorting the rows. So the first 31 digits are compared as
+    a number, which a hash aggregate keeps, for each last digit; texts are compared among those.
+    """
+    word, last = F.lit(Decimal(1 << 64)).cast("decimal(20,0)"), F.substring(digest, 32, 1)
+
+    def digits(start: int, n: int) -> Column:
+        return F.conv(F.substring(digest, start, n), 16, 10)
+
+    number = digits(1, 15).cast("decimal(19,0)") * word + digits(16, 16).cast("decimal(20,0)")
+    least = rows.groupBy(key, last.alias("_last")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(number.cast("decimal(38,0)")).alias("_number")
+    )
+    high = F.expr(f"_number div cast({1 << 64} as decimal(20,0))").cast("decimal(19,0)")
+    low = F.col("_number") - high * word
+    pieces = [F.lpad(F.lower(F.conv(part.cast("string"), 10, 16)), n, "0") for part, n in ((high, 15), (low, 16))]
+    return least.groupBy(key).agg(F.sum("n").alias("n"), F.min(F.concat(*pieces, "_last")).alias("first_digest"))
+
+
 @query(
     "report_issues",
     f"""{BASE}, {_REPORTS}, body AS MATERIALIZED (SELECT *, {_ISSUE_BODY} AS body, lower({_ISSUE_BODY}) AS low FROM report),
@@ -302,9 +326,7 @@ def report_issues(spark, folder):
     body = explained.withColumn("body", F.concat("explanation", planted))
     checked = body.withColumn("issues", text.text_issues(F.col("body")))
     warned = checked.withColumn("warned", text.with_warning(F.col("body"), F.col("issues")))
-    return warned.groupBy(F.array_join("issues", "; ").alias("issues")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.md5("warned")).alias("first_digest")
-    )
+    return count_and_first_digest(warned.select(F.array_join("issues", "; ").alias("issues"), F.md5("warned").alias("md5")), "issues", "md5")
 
 
 @query(
